@@ -27,8 +27,8 @@ from . import common
 WINDOW = 8
 SHARE, SHORT, EACH = 100, 5, 16
 #: Words from which on each comparison is made, and the distance that it allows.
-CLASS_WORDS, CLASS_DISTANCE = 30, 0.30
-COMMON_WORDS, COMMON_DISTANCE = 100, 0.75
+CLASS_WORDS, CLASS_DISTANCE = 50, 0.33
+COMMON_WORDS, COMMON_DISTANCE = 50, 0.42
 CLASSES = {"upper": "A-Z", "lower": "a-z", "digit": "0-9", "space": r"\x20\x09-\x0D", "mark": r".,;:'\x22?!()\-", "symbol": r"#*$%&|<>"}
 
 

@@ -11,7 +11,8 @@ U and kept from going negative; where it would, the step goes the other way.
 Several linear numpy models, each trained on its own share of U, are averaged.
 
 Features are the presence of hashed words, word beginnings and inner character
-runs, the ``n_features`` that positives hold most often beyond what U holds.
+runs, the ``n_features`` most frequent in P of those whose rate in U is about pi times
+that, as it is if toxic texts alone hold them.
 Training reads bounded samples (``n_positive``, ``n_unlabelled`` documents,
 the first by a hash of the id); scoring reads every whole text.
 
@@ -35,6 +36,8 @@ from . import common
 BUCKETS = 1 << 22
 BEGINNINGS = (4, 5, 6)
 INNER = 5
+#: A chosen feature is at most so many times as frequent in U as toxic texts alone would make it.
+PURE = 2.0
 
 
 def _word_bytes() -> np.ndarray:
@@ -161,11 +164,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, n_positive: int
     if not n.get(1) or not n.get(0):
         return Model(np.zeros(0, np.int64), None)
 
-    # the features that positives hold more often than U does, by the z of the difference
-    in_p = _sample_counts(sample.where("kind = 1")).withColumnRenamed("n", "p").where("p >= 3")
+    # a feature that only toxic texts hold occurs in U at pi times its rate in P; those near that are chosen
+    in_p = _sample_counts(sample.where("kind = 1")).withColumnRenamed("n", "p").where(F.col("p") >= max(5, n[1] // 50))
     in_u = _sample_counts(sample.where("kind = 0")).withColumnRenamed("n", "u")
-    rates = in_p.join(in_u, "bucket", "left").na.fill(0).select("bucket", (F.col("p") / n[1]).alias("p"), ((F.col("u") + 1) / (n[0] + 2)).alias("u"))
-    best = rates.orderBy(((F.col("u") - F.col("p")) / F.sqrt(F.col("u") * (1 - F.col("u")))), "bucket").limit(n_features)
+    rates = in_p.join(in_u, "bucket", "left").na.fill(0).select("bucket", (F.col("p") / n[1]).alias("p"), (F.col("u") / n[0]).alias("u"))
+    best = rates.where(F.col("u") <= F.lit(PURE * prior) * F.col("p")).orderBy(F.desc("p"), "bucket").limit(n_features)
     chosen = np.array([r["bucket"] for r in best.collect()], np.int64)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
