@@ -41,7 +41,7 @@ def class_map(categories: DataFrame, used: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, root: str) -> model.Tables:
     """Images, boxes and names; annotations of unknown images and boxes without four numbers are dropped."""
-    found = discover(spark, root)
+    found = [(split, files.visible(spark, p)) for split, p in discover(spark, root)]
     splits = spark.createDataFrame(found, "split string, path string")
     docs = spark.read.schema(SCHEMA).option("multiLine", "true").json([p for _, p in found]).withColumn("path", files.plain(F.col("_metadata.file_path"))).join(F.broadcast(splits), "path")  # one row a file
     images = docs.select("split", F.inline("images")).withColumn("file", F.regexp_extract("file_name", "([^/]*)$", 1))

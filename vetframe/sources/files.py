@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,21 @@ def file_table(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
     return spark.createDataFrame(files, FILES)
 
 
+def visible(spark: SparkSession, path: str) -> str:
+    """A path that Spark's readers see: a name that begins with ``_`` or ``.`` is hidden from them, so its file is copied to the shared folder."""
+    name = path.rsplit("/", 1)[-1]
+    if name[0] not in "_.":
+        return path
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.gettempdir()}/vetframe-tables"
+        spark.conf.set("spark.checkpoint.dir", base)
+    jvm = spark._jvm
+    (fs, p), (to_fs, to) = _fs(spark, path), _fs(spark, f"{base.rstrip('/')}/copies/{uuid.uuid4().hex}/{name.lstrip('_.')}")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to_fs, to, False, spark._jsc.hadoopConfiguration())
+    return plain_path(to_fs.makeQualified(to).toString())
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """Content of a small description file, or None."""
     fs, p = _fs(spark, path)

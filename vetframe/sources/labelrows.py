@@ -50,8 +50,8 @@ def parse(rows: DataFrame, task: str = "detect", n_kpt: int = 0, kpt_dim: int =
     if task == "segment":
         points = F.transform(F.sequence(F.lit(1), n - 2, F.lit(2)), lambda i: F.struct(F.get(F.col("v"), i).alias("x"), F.get(F.col("v"), i + 1).alias("y")))
         shaped = good.withColumn("polygon", points)
-        low = {c: F.array_min(F.transform("polygon", lambda p, c=c: p[c])) for c in "xy"}
-        high = {c: F.array_max(F.transform("polygon", lambda p, c=c: p[c])) for c in "xy"}
+        values_of = {c: F.col(f"polygon.{c}") for c in "xy"}
+        low, high = ({c: f(v) for c, v in values_of.items()} for f in (F.array_min, F.array_max))
         box = [((low["x"] + high["x"]) / 2).alias("xc"), ((low["y"] + high["y"]) / 2).alias("yc"), (high["x"] - low["x"]).alias("w"), (high["y"] - low["y"]).alias("h")]
         boxes = shaped.select("key", "line_no", cls, *box, "raw", "polygon", none_k.alias("keypoints"))
     else:

@@ -60,7 +60,8 @@ def read(spark: SparkSession, root: str) -> model.Tables:
         "key", "split", "stem", line.alias("line_no"), "cls", ((x1 + x2) / 2).alias("xc"), ((y1 + y2) / 2).alias("yc"), (x2 - x1).alias("w"), (y2 - y1).alias("h"), "name",
         F.lit(None).cast(model.POLYGON).alias("polygon"), F.lit(None).cast(model.KEYPOINTS).alias("keypoints"),
     ).withColumnRenamed("name", "raw")
-    errors = placed.where("_corrupt_record IS NOT NULL").select("key", F.lit(1).alias("line_no"), F.substring("_corrupt_record", 1, 200).alias("raw"), F.lit("malformed XML").alias("reason"))
+    # Spark refuses a query of the corrupt record alone, so another column stands beside it
+    errors = placed.where("length(concat(coalesce(filename, ''), _corrupt_record)) > 0").select("key", F.lit(1).alias("line_no"), F.substring("_corrupt_record", 1, 200).alias("raw"), F.lit("malformed XML").alias("reason"))
     pictures = [(p, n) for d in ("JPEGImages", "images", "Images", "JPEGimages") for p, n in files.list_files(spark, root, d) if p.rsplit(".", 1)[-1].lower() in files.IMAGE_SUFFIXES]
     images = files.file_table(spark, pictures).groupBy(files.stem(F.col("path")).alias("stem")).agg(F.max("path").alias("image_path"))
     n = boxes.groupBy("key").agg(F.count("*").cast("int").alias("n"))
