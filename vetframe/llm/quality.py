@@ -9,8 +9,7 @@ is no input.  Each comparison has a minimum length below which it is not made.
 
 References exist for languages that hold at least 1 in ``SHARE`` of the
 documents, so they are a bounded number; common words are short words (up to
-``SHORT`` letters) that make up 0.5 % of their language's short words, 16 a
-language.
+``SHORT`` letters) that make up 0.5 % of their language's words, the 16 most frequent of each.
 
 Defined results: null counts as a text without words, which fails the base
 rules; without any reference only the base rules decide; repeated rows are
@@ -29,7 +28,10 @@ SHARE, SHORT, EACH = 100, 5, 16
 #: Words from which on each comparison is made, and the distance that it allows.
 CLASS_WORDS, CLASS_DISTANCE = 50, 0.33
 COMMON_WORDS, COMMON_DISTANCE = 50, 0.42
-CLASSES = {"upper": "A-Z", "lower": "a-z", "digit": "0-9", "space": r"\x20\x09-\x0D", "mark": r".,;:'\x22?!()\-", "symbol": r"#*$%&|<>"}
+#: Classes that are counted by what is left of a text without all other characters.
+COUNTED = {"upper": "A-Z", "digit": "0-9", "mark": r".,;:'\x22?!()\-", "symbol": r"#*$%&|<>"}
+#: With them white space, bytes beyond one a character, and the rest, which are small ASCII letters for the most part.
+CLASSES = (*COUNTED, "space", "wide", "rest")
 
 
 def _let(value: Column, use) -> Column:
@@ -52,12 +54,24 @@ def _repeated(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(_let(_let(pairs, lambda p: F.sort_array(neighbours(p))), covered))
 
 
+def class_counts(text: Column, words: Column) -> dict[str, Column]:
+    """How many characters of each class a text has; its words tell the white space, its bytes the wide characters."""
+    counts = {name: F.length(F.regexp_replace(text, f"[^{inside}]+", "")) for name, inside in COUNTED.items()}
+    points = F.length(text)
+    counts |= {"space": points - F.length(F.array_join(words, "")), "wide": F.octet_length(text) - points}
+    return counts
+
+
+def rest(points: Column, counts: dict[str, Column]) -> Column:
+    return F.greatest(points - sum(counts.values(), F.lit(0)), F.lit(0))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with the base counts, the character classes and the words (columns that begin with ``__``)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    count = lambda inside: F.length(F.regexp_replace(text, f"[^{inside}]+", ""))
-    df = docs.withColumns({f"__{name}": count(inside) for name, inside in CLASSES.items()} | {"__points": F.length(text)})
-    df = df.withColumn("__words", F.filter(F.split(text, common.SPACE + "+"), lambda w: w != ""))
+    df = docs.withColumn("__words", F.filter(F.split(text, common.SPACE + "+"), lambda w: w != ""))
+    df = df.withColumns({f"__{name}": c for name, c in class_counts(text, F.col("__words")).items()} | {"__points": F.length(text)})
+    df = df.withColumn("__rest", rest(F.col("__points"), {c: F.col(f"__{c}") for c in CLASSES[:-1]}))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     df = df.withColumns({"__lines": lines, "__hashes": F.transform("__words", lambda w: F.xxhash64(w))})
     n = F.size("__words")
@@ -88,25 +102,29 @@ class References:
             return
         known = known.where(F.col("lang").isin(languages))
         text = F.col("text")
-        counts = [F.length(F.regexp_replace(text, f"[^{inside}]+", "")).alias(name) for name, inside in CLASSES.items()]
-        words = F.filter(F.split(F.lower(text), common.SPACE + "+"), lambda w: w != "")
-        short = F.filter(words, lambda w: F.length(w) <= SHORT)
-        parts = known.select("lang", *counts, F.length(text).alias("points"), F.size(words).alias("words"), short.alias("short"))
-        sums = {r["lang"]: r for r in parts.groupBy("lang").agg(*(F.sum(c).alias(c) for c in (*CLASSES, "points", "words"))).collect()}
-        found = parts.select("lang", F.explode("short").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-        bound = F.create_map(*(F.lit(v) for x in sums for v in (x, sums[x]["words"] / 200)))
-        often = found.where(F.col("n") >= bound[F.col("lang")]).collect()  # 200 a language at most
-        top = {x: sorted((r for r in often if r["lang"] == x), key=lambda r: (-r["n"], r["w"]))[:EACH] for x in languages}
-        self.words = sorted({r["w"] for rows in top.values() for r in rows})
+        split = known.select("lang", "text", F.filter(F.split(text, common.SPACE + "+"), lambda w: w != "").alias("words"))
+        counts = class_counts(text, F.col("words"))
+        parts = split.select("lang", "words", F.length(text).alias("points"), *(c.alias(name) for name, c in counts.items()))
+        parts = parts.withColumn("rest", rest(F.col("points"), {c: F.col(c) for c in CLASSES[:-1]}))
+        # one pass: short words count one each, and the totals go along under names that no word has
+        pair = lambda w, n: F.struct(w.alias("w"), n.cast("long").alias("n"))
+        short = F.transform(F.filter("words", lambda w: F.length(w) <= SHORT), lambda w: pair(F.lower(w), F.lit(1)))
+        totals = F.array(*(pair(F.lit(f" {c}"), F.col(c)) for c in CLASSES), pair(F.lit(" words"), F.size("words")))
+        found = parts.select("lang", F.inline(F.concat(short, totals))).groupBy("lang", "w").agg(F.sum("n").alias("n"))
+        found = common.materialise(docs.sparkSession, found, "short-words")
+        total = found.where("w = ' words'").select("lang", F.col("n").alias("all_words"))
+        often = found.join(F.broadcast(total), "lang").where((F.col("n") >= F.col("all_words") / 200) | F.col("w").startswith(" ")).collect()  # 200 and the totals a language
         n_of = {(r["lang"], r["w"]): r["n"] for r in often}
+        top = {x: sorted((r for r in often if r["lang"] == x and r["w"][0] != " "), key=lambda r: (-r["n"], r["w"]))[:EACH] for x in languages}
+        self.words = sorted({r["w"] for rows in top.values() for r in rows})
         for x in languages:
-            s = sums[x]
-            if not s["points"]:
+            c = [n_of.get((x, f" {name}"), 0) for name in CLASSES]
+            n = n_of.get((x, " words"), 0)
+            if not sum(c):
                 continue
-            c = [s[name] for name in CLASSES]
-            self.classes.append([v / s["points"] for v in [*c, s["points"] - sum(c)]])
+            self.classes.append([v / sum(c) for v in c])
             w = [n_of.get((x, word), 0) for word in self.words]
-            self.shares.append([v / max(s["words"], 1) for v in [*w, s["words"] - sum(w)]])
+            self.shares.append([v / max(n, 1) for v in [*w, n - sum(w)]])
 
 
 def jensen_shannon(p: Column, q: list[float]) -> Column:
@@ -119,10 +137,9 @@ def jensen_shannon(p: Column, q: list[float]) -> Column:
 def judged(docs: DataFrame, references: References) -> DataFrame:
     """``docs`` with the base counts, ``__class_distance``, ``__word_distance``, ``__base_failed`` and ``__kept``."""
     df = measured(docs)
-    total = F.greatest(F.col("__points"), F.lit(1)).cast("double")
     inside = [F.col(f"__{name}") for name in CLASSES]
-    rest = F.col("__points") - sum(inside[1:], inside[0])
-    df = df.withColumn("__class_share", F.array(*((c / total) for c in [*inside, rest])))
+    total = F.greatest(sum(inside, F.lit(0)), F.lit(1)).cast("double")
+    df = df.withColumn("__class_share", F.array(*((c / total) for c in inside)))
     if references.words:
         # only the common words, each between spaces of its own, so that a count is a difference of lengths
         low = F.transform("__words", lambda w: F.lower(w))
