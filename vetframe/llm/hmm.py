@@ -9,8 +9,8 @@ log10(c + 1) is shared with the base score, and
     score = sum log10(c + 1) - sum log10(D of the class) + log10 P(classes).
 
 Word counts cover all training documents and are joined to the tokens of all
-documents by hash; the ``COMMON`` most frequent words are broadcast (a fixed
-number), so no frequent word meets the join.  Baum-Welch counts are summed
+documents by hash; the most frequent words, ``COMMON`` at most, are broadcast,
+so no frequent word meets the join.  Baum-Welch counts are summed
 across partitions by Spark.  Training is incremental: the sequences are dealt
 into ``SLOTS`` slots by a hash; each of the first ``ROUNDS`` rounds takes
 another slot and all remaining slots make the last round, so each training
@@ -46,6 +46,8 @@ SUFFIX = 3
 END = OWN + CELLS
 CLASSES = END + 1
 SLOTS, ROUNDS, SEGMENT = 64, 8, 128
+#: Cells an octave in the histogram of word counts.
+STEPS = 64
 
 
 class Words:
@@ -96,6 +98,23 @@ def count_words(train: DataFrame) -> DataFrame:
     return partial.groupBy("h").agg(F.first("cell").alias("cell"), F.sum("n").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words above a count that ``most`` of them at most exceed.
+
+    A sort with a limit would send ``most`` rows of every task to one place; the
+    limit is read from a histogram of the counts with ``STEPS`` cells an octave.
+    """
+    cell = F.floor(F.log2("c") * STEPS).cast("int")
+    sizes = {r["cell"]: r["n"] for r in counts.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}  # 64 * STEPS at most
+    least, held = None, 0
+    for c in sorted(sizes, reverse=True):
+        held += sizes[c]
+        if held > most:
+            break
+        least = c
+    return counts.where(F.lit(False) if least is None else cell >= least)
+
+
 class Lexicon:
     """What all tasks need to know of the counts: the common words, and the totals of every class."""
 
@@ -105,8 +124,8 @@ class Lexicon:
         total = self.counts.agg(F.sum("c"), F.count("*")).first()
         self.tokens = (total[0] or 0) + n_docs
         self.types = total[1] + (n_docs > 0)
-        top = self.counts.orderBy(F.desc("c"), "h").limit(COMMON).collect()  # a fixed number
-        own = top[:OWN]
+        top = most_frequent(self.counts, COMMON).collect()  # COMMON at most
+        own = sorted(top, key=lambda r: (-r["c"], r["h"]))[:OWN]
         top.sort(key=lambda r: r["h"])
         self.h = np.array([r["h"] for r in top], np.int64)
         self.c = np.array([r["c"] for r in top], np.int64)
