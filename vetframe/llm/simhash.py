@@ -135,7 +135,6 @@ def anchors(fp: np.ndarray, nearest: np.ndarray, second: np.ndarray) -> tuple[np
     return np.concatenate(keys), np.concatenate(rows), np.concatenate(home)
 
 
-
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
@@ -224,10 +223,14 @@ class NearDuplicates:
         self.docs = common.materialise(spark, fingerprints(docs, shingle), "fingerprints")
         distinct = common.materialise(spark, self.docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
         edges = common.materialise(spark, links(spark, distinct, distance), "links")
-        labels = components(spark, edges)
-        linked = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        least = linked.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-        self.classes = linked.join(least, "label").select("fp", "component_id", "component_size")
+        labels = components(spark, edges).withColumnRenamed("node", "fp")
+        alone = distinct.join(labels, "fp", "left_anti").select("fp", F.col("least").alias("component_id"), F.col("n").alias("component_size"))
+        linked = common.materialise(spark, distinct.join(labels, "fp"), "linked")
+        groups = linked.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
+        # a component may hold a third of the fingerprints, so its rows are dealt into parts for the join
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+        self.classes = alone.unionByName(dealt.join(salted, ["label", "salt"]).select("fp", "component_id", "component_size"))
 
     def members(self) -> DataFrame:
         """doc_id, fp, component_id, component_size of every document; rows of a common fingerprint are salted."""
