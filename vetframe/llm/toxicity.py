@@ -134,6 +134,13 @@ def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed:
     return w
 
 
+def first_ids(rows: DataFrame, count: int, n: int) -> DataFrame:
+    """The first ``n`` of ``count`` ids by their hash; a cut at 1.5 times that share keeps what tasks hand on to the sort small."""
+    order = F.xxhash64("doc_id")
+    cut = (1 << 63) - 1 if 1.5 * n >= count else int(-(1 << 63) + (1 << 64) * (1.5 * n / count))
+    return rows.where(order <= F.lit(cut)).select("doc_id").orderBy(order, "doc_id").limit(n)
+
+
 class Model:
     """Chosen features and the averaged scorers."""
 
@@ -150,13 +157,13 @@ class Model:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, n_positive: int = 3000, n_unlabelled: int = 12000, n_features: int = 256, models: int = 3) -> Model:
     """Train on rows whose crc32 of the id modulo 5 is not 0."""
     known = labels.where(training_row(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rate = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    if not rate:
+    n_known, n_toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
+    if not n_toxic:
         return Model(np.zeros(0, np.int64), None)
-    prior = min(max(rate, 1e-4), 0.5)
-    order = F.xxhash64("doc_id")
-    confirmed = known.where("toxic > 0").select("doc_id").orderBy(order, "doc_id").limit(n_positive)  # bounded, so the joins may broadcast it
-    other = docs.where(training_row(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id").orderBy(order, "doc_id").limit(n_unlabelled)
+    prior = min(max(n_toxic / n_known, 1e-4), 0.5)
+    usable = docs.where(training_row(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id")
+    confirmed = first_ids(known.where("toxic > 0"), n_toxic, n_positive)  # bounded, so the joins may broadcast it
+    other = first_ids(usable, usable.count(), n_unlabelled)
     ids = common.materialise(spark, confirmed.withColumn("kind", F.lit(1)).union(other.withColumn("kind", F.lit(0))), "sample")
     texts = docs.select("doc_id", "text")
     sample = common.materialise(spark, texts.join(F.broadcast(ids), "doc_id").select("text", "kind"), "sample-texts")
