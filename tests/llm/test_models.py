@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vetframe.llm import common, hmm, languageid, licences, quality, toxicity
 
@@ -231,3 +232,18 @@ def test_licence_rows(spark, docs, data, empty):
 
 def test_rows_are_stable():
     assert rows(1) == rows(1)
+
+
+def test_common_words_lie_above_a_count(spark):
+    counts = spark.createDataFrame([(h, c) for h, c in enumerate([1] * 50 + [3] * 20 + [9] * 5 + [500])], "h long, c long")
+    for most, n in ((0, 0), (5, 1), (6, 6), (30, 26), (76, 76)):
+        assert hmm.most_frequent(counts, most).count() == n
+    assert hmm.most_frequent(counts.limit(0), 10).count() == 0
+
+
+def test_first_ids_are_those_of_the_whole_sort(spark):
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
+    whole = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(200).collect()
+    assert toxicity.first_ids(ids, 5000, 200).collect() == whole
+    assert toxicity.first_ids(ids, 5000, 9000).count() == 5000
+    assert toxicity.first_ids(ids.limit(0), 0, 10).count() == 0
