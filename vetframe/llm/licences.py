@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-CUES = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "all rights reserved", "spdx")
+CUES = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "all rights reserved", "spdx", "creative commons", "cc by", "cc-by", "cc0", "cc-0", "cc 0")
 #: Pattern of a whole normalised sentence and its identifier; a group named v is a version.
 SENTENCES = [
     (r"spdx-license-identifier: (?P<v>[a-z0-9.+-]+)", "spdx"),
@@ -44,6 +44,8 @@ SENTENCES = [
     (r"redistributions in binary form must reproduce the above copyright notice.*", "bsd-binary"),
     (r"(?:released|distributed|licensed|available) under (?:the |a )?(?:terms of the )?(?:(?P<v>[234])-clause )?bsd licen[cs]e", "bsd-name"),
     (r"(?:this (?:work|text|file) is )?(?:released|distributed|licensed|available) under (?:the |a )?creative commons (?P<k>[a-z ()-]*?)(?: ?licen[cs]e)?,?(?: version)?(?: (?P<v>[0-9.]+))?(?: international)?(?: licen[cs]e)?", "cc-name"),
+    (r"(?:this (?:work|text|file) is )?(?:released|distributed|licensed|available) under (?:the |a )?(?:terms of the )?cc[ -](?P<k>by(?:[ -](?:nc|sa|nd))*)(?: licen[cs]e)?(?:,? version|[ -]v)?(?:[ -]?(?P<v>[0-9][0-9.]*))?(?: international| unported)?(?: licen[cs]e)?", "cc-name"),
+    (r"(?:this (?:work|text|file) is )?(?:released|distributed|licensed|available) under (?:the |a )?(?:terms of the )?cc[ -]?0(?: licen[cs]e)?(?:,? version|[ -]v)?(?:[ -]?(?P<v>[0-9][0-9.]*))?(?: universal)?(?: licen[cs]e)?", "cc0-name"),
     (r"(?:released|distributed|licensed|available) under (?:the )?(?:terms of the )?mozilla public licen[cs]e(?:,? version| v)?(?: (?P<v>[0-9.]+))?", "mpl-name"),
     (r"(?:this (?:work|text|file|software) is |released into )(?:in )?the public domain", "public-domain"),
     (r"all rights reserved", "all-rights"),
@@ -65,6 +67,7 @@ RULES = [
     (("bsd-name",), "BSD"),
     (("bsd-grant",), "BSD"),
     (("cc-name",), "CC"),
+    (("cc0-name",), "CC0"),
     (("mpl-name",), "MPL"),
     (("public-domain",), "public-domain"),
     (("copyright", "all-rights"), "all-rights-reserved"),
