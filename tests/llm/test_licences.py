@@ -19,3 +19,53 @@ from vetframe.llm import licences
 )
 def test_creative_commons_in_short(text, licenses):
     assert licences.scan_text(text)[2:] == (licenses, 0)
+
+
+APACHE = """Copyright 2020 Acme
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+MIT = """MIT
+
+Copyright (c) 2020 Acme
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files, to deal in it
+without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of it.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of fitness.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize(("text", "licenses"), [(APACHE, ["Apache-2.0"]), (MIT, ["MIT"]), (GPL, ["GPL-3"])])
+def test_wrapped_headers(text, licenses, mark):
+    assert licences.scan_text("".join(f"{mark}{line}\n" for line in text.splitlines()))[2:] == (licenses, 0)
+
+
+@pytest.mark.parametrize(
+    ("text", "licenses"),
+    [
+        ("This software is released under the MIT License.", ["MIT"]),
+        ("The code is licensed under the BSD license.", ["BSD"]),
+        ('Licensed under the Apache License, Version 2.0 (the "License");', ["Apache-2.0"]),
+        ("Some title\nReleased under the MIT License\nMore words here", ["MIT"]),
+        ("Licensed under the Apache License,\nVersion 2.0. More.", ["Apache-2.0"]),
+        ("This project is distributed under the\nMozilla Public License, version 2.0.", ["MPL-2.0"]),
+    ],
+)
+def test_subjects_and_wraps(text, licenses):
+    assert licences.scan_text(text)[2:] == (licenses, 0)

@@ -1,7 +1,8 @@
 """License scans by sentence-rule recognition.
 
 A text is cut into sentences, which are normalised (lower case, single spaces,
-no marks at the ends).  ``SENTENCES`` maps a normalised sentence to the
+no marks at the ends).  A line end ends a sentence, unless the lines of a paragraph,
+without their comment marks, make a known sentence together.  ``SENTENCES`` maps a normalised sentence to the
 identifier of a known license sentence, with the version it names, if any.  The
 sequence of identifiers is then read from the left: at each place the first of
 the ordered ``RULES`` whose identifiers stand there, one after another, gives a
@@ -26,27 +27,30 @@ from pyspark.sql import DataFrame
 from . import common
 
 CUES = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "all rights reserved", "spdx", "creative commons", "cc by", "cc-by", "cc0", "cc-0", "cc 0")
+#: What a sentence that names a license begins with, and the term that it may define.
+_UNDER = r"(?:(?:this|the) (?:[a-z]+ ){1,3}?(?:is|are) )?(?:released|distributed|licensed|available) under "
+_TERM = r"(?: \(the [\"'\u201c\u2018]?licen[cs]e[\"'\u201d\u2019]?\))?"
 #: Pattern of a whole normalised sentence and its identifier; a group named v is a version.
 SENTENCES = [
     (r"spdx-license-identifier: (?P<v>[a-z0-9.+-]+)", "spdx"),
-    (r"(?:released|distributed|licensed|available) under (?:the )?(?:terms of the )?mit licen[cs]e", "mit-name"),
+    (_UNDER + r"(?:the )?(?:terms of the )?mit licen[cs]e" + _TERM, "mit-name"),
     (r"permission is hereby granted, free of charge, to any person obtaining a copy of this software.*", "mit-grant"),
     (r"the above copyright notice and this permission notice shall be included in all copies.*", "mit-notice"),
-    (r"(?:released|distributed|licensed|available) under (?:the )?(?:terms of the )?apache (?:software )?licen[cs]e(?:,? version| v)?(?: (?P<v>[0-9.]+))?", "apache-name"),
+    (_UNDER + r"(?:the )?(?:terms of the )?apache (?:software )?licen[cs]e(?:,? version| v)?(?: (?P<v>[0-9.]+))?" + _TERM, "apache-name"),
     (r"you may not use this (?:file|work|software) except in compliance with the licen[cs]e", "apache-comply"),
     (r"you may obtain a copy of the licen[cs]e at.*", "licence-place"),
     (r"unless required by applicable law or agreed to in writing, software distributed under the licen[cs]e is distributed on an \"?as is\"? basis.*", "apache-warranty"),
-    (r"(?:this (?:work|program|file|software|text) is )?(?:released|distributed|licensed|available) under (?:the )?(?:terms of the )?gnu (?P<k>lesser |affero )?general public licen[cs]e(?:,? version| v)?(?: (?P<v>[0-9.]+))?(?P<l>,? or \(?at your option\)? any later version)?", "gpl-name"),
+    (_UNDER + r"(?:the )?(?:terms of the )?gnu (?P<k>lesser |affero )?general public licen[cs]e(?:,? version| v)?(?: (?P<v>[0-9.]+))?(?P<l>,? or \(?at your option\)? any later version)?" + _TERM, "gpl-name"),
     (r"this program is free software: you can redistribute it.*gnu (?P<k>lesser |affero )?general public licen[cs]e.*version (?P<v>[0-9.]+).*", "gpl-grant"),
     (r"this program is distributed in the hope that it will be useful, but without any warranty.*", "gpl-warranty"),
     (r"redistribution and use in source and binary forms, with or without modification, are permitted.*", "bsd-grant"),
     (r"redistributions of source code must retain the above copyright notice.*", "bsd-source"),
     (r"redistributions in binary form must reproduce the above copyright notice.*", "bsd-binary"),
-    (r"(?:released|distributed|licensed|available) under (?:the |a )?(?:terms of the )?(?:(?P<v>[234])-clause )?bsd licen[cs]e", "bsd-name"),
-    (r"(?:this (?:work|text|file) is )?(?:released|distributed|licensed|available) under (?:the |a )?creative commons (?P<k>[a-z ()-]*?)(?: ?licen[cs]e)?,?(?: version)?(?: (?P<v>[0-9.]+))?(?: international)?(?: licen[cs]e)?", "cc-name"),
-    (r"(?:this (?:work|text|file) is )?(?:released|distributed|licensed|available) under (?:the |a )?(?:terms of the )?cc[ -](?P<k>by(?:[ -](?:nc|sa|nd))*)(?: licen[cs]e)?(?:,? version|[ -]v)?(?:[ -]?(?P<v>[0-9][0-9.]*))?(?: international| unported)?(?: licen[cs]e)?", "cc-name"),
-    (r"(?:this (?:work|text|file) is )?(?:released|distributed|licensed|available) under (?:the |a )?(?:terms of the )?cc[ -]?0(?: licen[cs]e)?(?:,? version|[ -]v)?(?:[ -]?(?P<v>[0-9][0-9.]*))?(?: universal)?(?: licen[cs]e)?", "cc0-name"),
-    (r"(?:released|distributed|licensed|available) under (?:the )?(?:terms of the )?mozilla public licen[cs]e(?:,? version| v)?(?: (?P<v>[0-9.]+))?", "mpl-name"),
+    (_UNDER + r"(?:the |a )?(?:terms of the )?(?:(?P<v>[234])-clause )?bsd licen[cs]e" + _TERM, "bsd-name"),
+    (_UNDER + r"(?:the |a )?creative commons (?P<k>[a-z ()-]*?)(?: ?licen[cs]e)?,?(?: version)?(?: (?P<v>[0-9.]+))?(?: international)?(?: licen[cs]e)?" + _TERM, "cc-name"),
+    (_UNDER + r"(?:the |a )?(?:terms of the )?cc[ -](?P<k>by(?:[ -](?:nc|sa|nd))*)(?: licen[cs]e)?(?:,? version|[ -]v)?(?:[ -]?(?P<v>[0-9][0-9.]*))?(?: international| unported)?(?: licen[cs]e)?" + _TERM, "cc-name"),
+    (_UNDER + r"(?:the |a )?(?:terms of the )?cc[ -]?0(?: licen[cs]e)?(?:,? version|[ -]v)?(?:[ -]?(?P<v>[0-9][0-9.]*))?(?: universal)?(?: licen[cs]e)?" + _TERM, "cc0-name"),
+    (_UNDER + r"(?:the )?(?:terms of the )?mozilla public licen[cs]e(?:,? version| v)?(?: (?P<v>[0-9.]+))?" + _TERM, "mpl-name"),
     (r"(?:this (?:work|text|file|software) is |released into )(?:in )?the public domain", "public-domain"),
     (r"all rights reserved", "all-rights"),
     (r"(?:copyright|\(c\)|©).*", "copyright"),
@@ -74,6 +78,12 @@ RULES = [
     (("all-rights",), "all-rights-reserved"),
 ]
 _CUT = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
+#: Ends of a sentence in a line: its mark, or the semicolon behind a defined term.
+_STOP = re.compile(r"(?<=[.!?])\s+|(?<=\);)\s+")
+#: What a known sentence begins with.
+_OPENS = re.compile(r"spdx|permission|the\b|this\b|you\b|unless|redistribution|released|distributed|licensed|available|all rights|copyright|\(c\)|©")
+#: The longest wrapped sentence that is tried at each of its line ends; longer ones are tried whole.
+_LONG = 1000
 _KNOWN = [(re.compile(p), name) for p, name in SENTENCES]
 
 
@@ -92,15 +102,54 @@ def identify(sentence: str) -> tuple[str, str] | None:
     return None
 
 
+def pieces(text: str) -> list[tuple[str, bool]]:
+    """Parts of sentences as lines hold them, without comment marks, and whether a sentence ends there."""
+    out: list[tuple[str, bool]] = []
+    for line in re.split(r"\r\n|[\r\n]", text):
+        parts = [p for p in _STOP.split(line.strip()) if normalise(p)]
+        if not parts and out:
+            out[-1] = (out[-1][0], True)  # an empty line ends a paragraph
+        for i, part in enumerate(parts):
+            part = part.lstrip(" \t*#/-;<!").rstrip(" \t*#/")
+            out.append((part, i + 1 < len(parts) or part.endswith((".", "!", "?", ");"))))
+    return out
+
+
+def join_wrapped(parts: list[tuple[str, bool]]) -> list[tuple[str, tuple[str, str] | None]]:
+    """Normalised sentences with their identifier; lines are joined where that makes a known sentence, the longest that does."""
+    alone = [normalise(p) for p, _ in parts]
+    found = [identify(s) if _OPENS.match(s) else None for s in alone]
+    out, at = [], 0
+    while at < len(parts):
+        sentence, hit, to = alone[at], found[at], at + 1
+        if _OPENS.match(sentence) and not (hit and hit[0] in ("copyright", "all-rights")):
+            end = at + 1  # the sentence goes on to its mark or to the next known one
+            while end < len(parts) and not parts[end - 1][1] and not found[end]:
+                end += 1
+            size, ends = len(parts[at][0]), [end]
+            for k in range(at + 2, end):
+                size += len(parts[k - 1][0]) + 1
+                if size > _LONG:
+                    break
+                ends.insert(1, k)
+            for k in ends:
+                joined = normalise(" ".join(p for p, _ in parts[at:k])) if k > at + 1 else ""
+                if joined and (more := identify(joined)) and more[0] != "copyright":
+                    sentence, hit, to = joined, more, k
+                    break
+        out.append((sentence, hit))
+        at = to
+    return out
+
+
 def scan_text(text: str) -> tuple[int, list[str], list[str], int]:
     """Sentences, identifiers of the known ones, licenses in order, and license sentences that no rule takes."""
     low = text.lower()
     if not any(cue in low for cue in CUES):
         return sum(1 for s in _CUT.split(text) if normalise(s)), [], [], 0
-    sentences = [s for s in map(normalise, _CUT.split(text)) if s]
-    found: list[tuple[str, str] | None] = [identify(s) if any(c in s for c in CUES) or s.startswith(("(c)", "©", "you may", "this program", "the above")) else None for s in sentences]
-    unknown = sum(1 for s, f in zip(sentences, found, strict=True) if f is None and "licen" in s)
-    known = [f for f in found if f]
+    sentences = join_wrapped(pieces(text))
+    known = [f for _, f in sentences if f]
+    unknown = sum(1 for s, f in sentences if f is None and "licen" in s)
     licenses, at = [], 0
     while at < len(known):
         for ids, license_ in RULES:
