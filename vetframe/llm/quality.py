@@ -7,8 +7,9 @@ each language over all documents that carry it; a document is compared with
 every language and its smallest Jensen-Shannon distance counts, so its own lang
 is no input.  Each comparison has a minimum length below which it is not made.
 
-References exist for languages that hold at least 1 in ``SHARE`` of the
-documents, so they are a bounded number; common words are short words (up to
+Languages that hold at least 1 in ``SHARE`` of the documents are a bounded number
+and stand in the plan.  The references of all others are a table that is joined
+by lang: a document of such a language is compared with its own one, too.  Common words are short words (up to
 ``SHORT`` letters) that make up 0.5 % of their language's words, the 16 most frequent of each.
 
 Defined results: null counts as a text without words, which fails the base
@@ -18,7 +19,7 @@ judged alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -93,14 +94,15 @@ class References:
 
     def __init__(self, docs: DataFrame) -> None:
         known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-        sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > 0).orderBy(F.desc("n"), "lang").limit(SHARE).collect()}
+        sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > 0).orderBy(F.desc("n"), "lang").limit(SHARE + 1).collect()}
         languages = sorted(x for x, n in sizes.items() if n * SHARE >= sum(sizes.values()))
         self.classes: list[list[float]] = []
         self.words: list[str] = []
         self.shares: list[list[float]] = []
-        if not languages:
+        #: References of the languages below the share: __own_lang, __own_classes, __own_words, __own_shares.
+        self.rare: DataFrame | None = None
+        if not sizes:
             return
-        known = known.where(F.col("lang").isin(languages))
         text = F.col("text")
         split = known.select("lang", "text", F.filter(F.split(text, common.SPACE + "+"), lambda w: w != "").alias("words"))
         counts = class_counts(text, F.col("words"))
@@ -113,7 +115,9 @@ class References:
         found = parts.select("lang", F.inline(F.concat(short, totals))).groupBy("lang", "w").agg(F.sum("n").alias("n"))
         found = common.materialise(docs.sparkSession, found, "short-words")
         total = found.where("w = ' words'").select("lang", F.col("n").alias("all_words"))
-        often = found.join(F.broadcast(total), "lang").where((F.col("n") >= F.col("all_words") / 200) | F.col("w").startswith(" ")).collect()  # 200 and the totals a language
+        if len(sizes) > len(languages):
+            self.rare = rare_references(found.where(~F.col("lang").isin(languages)), total)
+        often = found.where(F.col("lang").isin(languages)).join(F.broadcast(total), "lang").where((F.col("n") >= F.col("all_words") / 200) | F.col("w").startswith(" ")).collect()  # 200 and the totals a language
         n_of = {(r["lang"], r["w"]): r["n"] for r in often}
         top = {x: sorted((r for r in often if r["lang"] == x and r["w"][0] != " "), key=lambda r: (-r["n"], r["w"]))[:EACH] for x in languages}
         self.words = sorted({r["w"] for rows in top.values() for r in rows})
@@ -127,15 +131,32 @@ class References:
             self.shares.append([v / max(n, 1) for v in [*w, n - sum(w)]])
 
 
-def jensen_shannon(p: Column, q: list[float]) -> Column:
+def rare_references(found: DataFrame, total: DataFrame) -> DataFrame:
+    """The histograms of each language in ``found`` (lang, w, n), as arrays in a row."""
+    classes = found.where(F.col("w").isin([f" {c}" for c in CLASSES])).groupBy("lang").pivot("w", [f" {c}" for c in CLASSES]).agg(F.sum("n"))
+    inside = [F.coalesce(F.col(f"` {c}`"), F.lit(0)) for c in CLASSES]
+    all_chars = F.greatest(sum(inside, F.lit(0)), F.lit(1)).cast("double")
+    classes = classes.select("lang", F.array(*(c / all_chars for c in inside)).alias("__own_classes"))
+    often = found.join(total, "lang").where((F.col("n") >= F.col("all_words") / 200) & ~F.col("w").startswith(" "))
+    top = often.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("at") <= EACH)
+    words = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("w", (F.col("n") / F.col("all_words")).alias("p")))).alias("top"))
+    shares = F.coalesce(F.col("top.p"), F.array().cast("array<double>"))
+    rest_share = F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    out = classes.join(words, "lang", "left").withColumnRenamed("lang", "__own_lang")
+    return out.select("__own_lang", "__own_classes", F.coalesce("top.w", F.array().cast("array<string>")).alias("__own_words"), F.concat(shares, F.array(rest_share)).alias("__own_shares"))
+
+
+def jensen_shannon(p: Column, q: list[float] | Column) -> Column:
     """Distance (root of the divergence in bits) of the histogram ``p``, an array that sums to one, from ``q``."""
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
-    terms = F.zip_with(p, F.array(*map(F.lit, q)), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
+    terms = F.zip_with(p, q if isinstance(q, Column) else F.array(*map(F.lit, q)), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
 def judged(docs: DataFrame, references: References) -> DataFrame:
     """``docs`` with the base counts, ``__class_distance``, ``__word_distance``, ``__base_failed`` and ``__kept``."""
+    if references.rare is not None:
+        docs = docs.join(references.rare, F.col("lang") == F.col("__own_lang"), "left")
     df = measured(docs)
     inside = [F.col(f"__{name}") for name in CLASSES]
     total = F.greatest(sum(inside, F.lit(0)), F.lit(1)).cast("double")
@@ -153,6 +174,16 @@ def judged(docs: DataFrame, references: References) -> DataFrame:
     else:
         df = df.withColumn("__word_distance", F.lit(0.0))
     df = df.withColumn("__class_distance", F.array_min(F.array(*(jensen_shannon(F.col("__class_share"), q) for q in references.classes))) if references.classes else F.lit(0.0))
+    if references.rare is not None:
+        # least() passes over the null of a document without such a reference
+        n = F.greatest(F.size("__words"), F.lit(1)).cast("double")
+        mine = F.filter(F.transform("__words", lambda w: F.lower(w)), lambda w: F.array_contains("__own_words", w))
+        share = _let(mine, lambda m: F.transform("__own_words", lambda w: F.size(F.filter(m, lambda x: x == w)) / n))
+        own = _let(share, lambda p: F.concat(p, F.array(F.lit(1.0) - F.aggregate(p, F.lit(0.0), lambda a, x: a + x))))
+        words = F.when(F.col("__own_lang").isNotNull(), jensen_shannon(own, F.col("__own_shares")))
+        df = df.withColumn("__word_distance", F.least("__word_distance", words) if references.words else F.coalesce(words, F.lit(0.0)))
+        classes = F.when(F.col("__own_lang").isNotNull(), jensen_shannon(F.col("__class_share"), F.col("__own_classes")))
+        df = df.withColumn("__class_distance", F.least("__class_distance", classes) if references.classes else F.coalesce(classes, F.lit(0.0)))
     failed = (F.col("__n_words") < 20) | (100 * F.col("__n_repeat_words") > 30 * F.col("__n_words"))
     odd = ((F.col("__n_words") >= CLASS_WORDS) & (F.col("__class_distance") > CLASS_DISTANCE)) | ((F.col("__n_words") >= COMMON_WORDS) & (F.col("__word_distance") > COMMON_DISTANCE))
     return df.withColumn("__base_failed", failed).withColumn("__kept", ~failed & ~odd)
@@ -160,7 +191,7 @@ def judged(docs: DataFrame, references: References) -> DataFrame:
 
 def quality(docs: DataFrame) -> DataFrame:
     """The counts and the verdict of every document."""
-    out = judged(docs.select("doc_id", "text"), References(docs))
+    out = judged(docs.select("doc_id", "text", "lang"), References(docs))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
     return out.select("doc_id", *(F.col(f"__{n}").alias(n) for n in names))
 
