@@ -122,3 +122,41 @@ def test_padding_against_full_lengths():
 def test_histogram_edges(histogram):
     entries = packing.shortest_pack_first(histogram, 1024)
     assert sum(c for _, _, c, _, _ in entries) == sum(histogram.values())
+
+
+def doubling(n, a, b):
+    """The word of length ``n`` that begins with ``a`` and doubles by its own complement."""
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return "".join((a, b)[x] for x in out)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_agree_modulo_powers_of_two(n):
+    a, b = doubling(n, "a", "b"), doubling(n, "b", "a")
+    e = bpe.Encoder(VOCABULARY)
+    ids, at = e.encode([f"{a} {b}", f"{b} {a}"])
+    assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [library(f"{a} {b}"), library(f"{b} {a}")]
+
+
+def test_equal_hashes_of_unequal_words_change_nothing(monkeypatch):
+    monkeypatch.setattr(bpe.common.SpanHasher, "__call__", lambda self, units, start, end: (end - start).astype(np.uint64))
+    e = bpe.Encoder(VOCABULARY)
+    for texts in (["one two", "three"], ["six ten", "words", ""], ["one", "the"]):
+        ids, at = e.encode(texts)
+        assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [library(t) for t in texts]
+
+
+def test_a_text_longer_than_a_step(spark):
+    rnd = random.Random(8)
+    text = " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(500_000))
+    assert len(text) > 2 * bpe.STEP
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id int, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in bpe.encode_digests(df, PATH).collect()}
+    assert got == {1: len(library(text)), 2: len(library("short"))}
+
+
+def test_digests_of_clashing_columns_and_of_nothing(clashing, empty, data):
+    assert bpe.encode_digests(clashing, PATH).count() == packing.pack(clashing.sparkSession, clashing, PATH).select("doc_id", "start").where("start = 0").count() == len(data)
+    assert bpe.encode_digests(empty, PATH).count() == 0

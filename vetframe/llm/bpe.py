@@ -8,10 +8,11 @@ merge loop ends when the root holds no mergeable pair.
 ``PairTree`` is that loop for one word.  ``encode_words`` runs the same trees
 for many short words side by side in numpy.  Texts are cut into pre-tokens as
 the byte-level pre-tokenizer of the ``tokenizers`` library cuts them; equal
-pre-tokens of a chunk are encoded once.
+pre-tokens of a chunk are encoded once; they are found by hash and compared in full.
 
 Defined results: null counts as the empty text, which has no ids; the special
-tokens of the file are matched first and become their own ids.
+tokens of the file are matched first and become their own ids; ids of documents
+pass through unread, null and repeated ones too; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -277,6 +278,11 @@ def pretokens(points: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> t
     return start, np.r_[start[1:], n]
 
 
+def _agree(a: np.ndarray, a_start: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_size: np.ndarray) -> bool:
+    """Whether each span of ``a`` equals that of ``b``."""
+    return np.array_equal(a_size, b_size) and np.array_equal(a[common.concat_ranges(a_start, a_size)], b[common.concat_ranges(b_start, b_size)])
+
+
 class Encoder:
     """Encodes batches of texts; holds the tables of one task and the pre-tokens it met, up to ``CACHED``."""
 
@@ -287,18 +293,21 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Hashes of the known pre-tokens in order, where their ids begin in ``store`` and how many there are."""
-        self.known, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.store = np.zeros(0, np.int32)
+        """Hashes of the known pre-tokens in order; where their ids and their code points begin, and how many there are."""
+        self.known = np.zeros(0, np.uint64)
+        self.begin, self.count, self.spelt, self.size = (np.zeros(0, np.int64) for _ in range(4))
+        self.store, self.spelling = np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def _learn(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+    def _learn(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray, points: np.ndarray, size: np.ndarray) -> None:
         if len(self.known) + len(h) > CACHED:
             self._forget()
         at = np.searchsorted(self.known, h)
         self.known = np.insert(self.known, at, h)
         self.begin = np.insert(self.begin, at, np.cumsum(counts) - counts + len(self.store))
         self.count = np.insert(self.count, at, counts)
-        self.store = np.concatenate([self.store, ids])
+        self.spelt = np.insert(self.spelt, at, np.cumsum(size) - size + len(self.spelling))
+        self.size = np.insert(self.size, at, size)
+        self.store, self.spelling = np.concatenate([self.store, ids]), np.concatenate([self.spelling, points])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text begins (one more entry at the end)."""
@@ -324,30 +333,42 @@ class Encoder:
             yield found[1], self.v.special[found[1]]
             text = text[found[0] + len(found[1]) :]
 
+    def _encoded(self, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some pre-tokens, how many each has, and the code points of all."""
+        chosen = points[common.concat_ranges(start, size)]
+        data = np.frombuffer(chosen.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace"), np.uint8)
+        wide = 1 + (chosen >= 0x80).astype(np.int64) + (chosen >= 0x800) + (chosen >= 0x10000)
+        ends = np.r_[0, np.cumsum(wide)][np.cumsum(size)]
+        return *encode_words(self.v, data, np.r_[0, ends[:-1]], ends), chosen
+
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         offsets = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
         start, end = pretokens(points, offsets, self.classes)
+        size = end - start
+        text_at = np.searchsorted(start, offsets, side="left")
+        if not len(start):
+            return self.store[:0], np.zeros(len(offsets), np.int64)
         h, some, which = np.unique(self.hash(points, start, end), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
-        new = np.flatnonzero(self.known[at] != h) if len(self.known) else np.arange(len(h))
+        hit = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
+        # equal hashes are taken for equal words only where all their characters agree
+        old = np.flatnonzero(hit)
+        same = _agree(points, start, size, points, start[some][which], size[some][which]) and _agree(points, start[some[old]], size[some[old]], self.spelling, self.spelt[at[old]], self.size[at[old]])
+        if not same:
+            ids, per, _ = self._encoded(points, start, size)
+            return ids, np.r_[0, np.cumsum(per)][text_at]
+        new = np.flatnonzero(~hit)
         if len(new):
-            # the pre-tokens not met before, as UTF-8
-            some = some[new]
-            size = end[some] - start[some]
-            chosen = points[common.concat_ranges(start[some], size)]
-            data = np.frombuffer(chosen.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace"), np.uint8)
-            wide = 1 + (chosen >= 0x80).astype(np.int64) + (chosen >= 0x800) + (chosen >= 0x10000)
-            ends = np.r_[0, np.cumsum(wide)][np.cumsum(size)]
-            ids, counts = encode_words(self.v, data, np.r_[0, ends[:-1]], ends)
-            self._learn(h[new], ids, counts)
+            known = some[new]
+            ids, counts, chosen = self._encoded(points, start[known], size[known])
+            self._learn(h[new], ids, counts, chosen, size[known])
             if len(self.known) == len(new) < len(h):  # the others have been forgotten
                 self._forget()
                 return self._plain(texts)
             at = np.searchsorted(self.known, h)
-        per = self.count[at][which] if len(h) else np.zeros(0, np.int64)
-        total = np.r_[0, np.cumsum(per)]
-        return self.store[common.concat_ranges(self.begin[at][which], per)] if len(h) else self.store[:0], total[np.searchsorted(start, offsets, side="left")]
+        per = self.count[at][which]
+        return self.store[common.concat_ranges(self.begin[at][which], per)], np.r_[0, np.cumsum(per)][text_at]
 
     def decode(self, ids: list[int]) -> bytes:
         """Text of the ids in UTF-8; what is no UTF-8 becomes U+FFFD."""

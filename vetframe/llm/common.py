@@ -9,13 +9,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,22 +30,74 @@ SPACE = r"[\x20\x09-\x0D]"
 CHUNK_BYTES = 6_000_000
 
 
+#: Paths of the tables this process has written.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder all executors share; a temporary one only where none is set and there is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), f'vetframe-{os.getuid()}')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation.
+
+    Tables are removed when the process ends, or by ``release``.
+    """
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    remember(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remember(path: str) -> None:
+    """Have ``path`` removed in the end."""
+    if not _written:
+        atexit.register(release)
+    _written.append(path)
+
+
+def release(since: int = 0) -> None:
+    """Remove the tables written after the first ``since`` ones; nothing may read them any more."""
+    context = SparkContext._active_spark_context
+    while context is not None and context._jsc is not None and len(_written) > since:
+        with contextlib.suppress(Py4JError, OSError):  # at the end of a process its JVM may be gone
+            path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written() -> int:
+    """How many tables there are, for ``release``."""
+    return len(_written)
+
+
+class Renamed:
+    """``docs`` with its columns named by position, so that no name of an operator clashes with one of theirs."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.names = docs.columns
+        self.columns = [f"c{i}" for i in range(len(self.names))]
+        self.df = docs.toDF(*self.columns)
+
+    def name(self, column: str) -> str:
+        """The positional name of ``column``: the one spelt so, else one that differs in case."""
+        lower = [n.lower() for n in self.names]
+        return self.columns[self.names.index(column) if column in self.names else lower.index(column.lower())]
+
+    def __getitem__(self, column: str) -> Column:
+        return F.col(self.name(column))
+
+    def back(self, df: DataFrame) -> DataFrame:
+        """The user's columns of ``df``, under their own names."""
+        return df.select(*self.columns).toDF(*self.names)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,9 +107,9 @@ def remainder(column: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def buckets_for(rows: int, per_bucket: int, most: int = 4096) -> int:
+def buckets_for(rows: int, per_bucket: int) -> int:
     """How many buckets keep each near ``per_bucket`` rows."""
-    return int(min(most, max(1, -(-rows // per_bucket))))
+    return max(1, -(-rows // per_bucket))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -117,34 +174,59 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+#: Modulus and bases of the span hashes.  A prime: modulo a power of two, long words of two letters collide for any base.
+PRIME = (1 << 31) - 1
+BASES = (1_170_943_853, 1_903_280_177)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base^2, ... modulo 2^64."""
+    """1, base, base^2, ... modulo ``PRIME``."""
     out = np.ones(max(n, 1), np.uint64)
     have, step = 1, base
     while have < n:
         more = min(have, n - have)
-        out[have : have + more] = out[:more] * np.uint64(step)
-        have, step = have + more, step * step % (1 << 64)
+        out[have : have + more] = out[:more] * np.uint64(step) % np.uint64(PRIME)
+        have, step = have + more, step * step % PRIME
     return out
 
 
 class SpanHasher:
-    """64-bit hashes of spans: differences of a prefix polynomial, shifted to the start, then mixed."""
+    """62-bit hashes of spans, mixed to 64: two prefix polynomials modulo a prime, shifted to the start of the span."""
+
+    #: Units summed at once, few enough to stay in a cache.
+    BLOCK = 1 << 15
 
     def __init__(self) -> None:
-        self.up, self.down = powers(MULTIPLIER, 1), powers(INVERSE, 1)
+        self.size = 0
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        self.total, self.term = np.zeros(1, np.uint64), np.zeros(self.BLOCK, np.uint64)
+
+    def _sums(self, units: np.ndarray, up: np.ndarray) -> np.ndarray:
+        """Sums of the terms before each unit; terms stay below 2^32, so that 2^31 of them don't overflow."""
+        total, carry, prime = self.total, np.uint64(0), np.uint64(PRIME)
+        for at in range(0, len(units), self.BLOCK):
+            part = units[at : at + self.BLOCK]
+            term = self.term[: len(part)]
+            np.add(part, 1, out=term, casting="unsafe")
+            term *= up[at : at + len(part)]
+            np.add(term & prime, term >> np.uint64(31), out=term)
+            term[0] += carry
+            np.cumsum(term, out=total[at + 1 : at + 1 + len(part)])
+            carry = total[at + len(part)]
+        return total
 
     def __call__(self, units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = len(units) + 1
-        if len(self.up) < n:
-            self.up, self.down = powers(MULTIPLIER, n + n // 4), powers(INVERSE, n + n // 4)
-        total = np.zeros(n, np.uint64)
-        np.cumsum((units.astype(np.uint64) + np.uint64(1)) * self.up[: n - 1], out=total[1:])
-        h = (total[end] - total[start]) * self.down[start]
-        h ^= (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        n, prime = len(units) + 1, np.uint64(PRIME)
+        if self.size < n:
+            self.size = n + n // 4
+            self.tables = [(powers(b, self.size), powers(pow(b, -1, PRIME), self.size)) for b in BASES]
+            self.total = np.zeros(self.size, np.uint64)
+        h = np.zeros(len(start), np.uint64)
+        for i, (up, down) in enumerate(self.tables):
+            total = self._sums(units, up)
+            part = (total[end] - total[start]) % prime * down[start] % prime
+            h |= part << np.uint64(31 * i)
+        h ^= (end - start).astype(np.uint64) << np.uint64(40)
         for _ in range(2):
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xD6E8FEB86659FD93)
