@@ -8,11 +8,12 @@ are, and the counts of the packing patterns are updated.  The patterns are then
 joined back to the pieces by rank: the r-th piece of a length takes the r-th
 place that the patterns hold for that length.
 
-Ranks are counted within salted buckets of each length, so a length that most
-pieces share is spread over many tasks.
+Ranks are counted within salted buckets of each length, as many as its count
+asks for, so a length that most pieces share is spread over many tasks.
 
 Defined results: a null text is an empty one (its single id is the end id);
-repeated rows are packed once each; an empty table gives no rows.
+repeated rows are packed once each, null ids like any other; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -117,15 +118,15 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int) ->
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str, capacity: int = 1024, end_id: int = 0, per_bucket: int = 20_000) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str, capacity: int = 1024, end_id: int = 0, per_bucket: int = 1_000) -> DataFrame:
     """Pieces of all documents with their sequence_id and offset."""
     cut = common.materialise(spark, pieces(docs, vocabulary_path, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     entries = np.array(sorted(shortest_pack_first(counts, capacity)), np.int64).reshape(-1, 5)
 
     # rank of a piece among those of its length: pieces in earlier buckets, then its place in its own
-    n_buckets = common.buckets_for(max(counts.values(), default=0), per_bucket)
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_buckets)))
+    n_buckets = F.get(F.array(*(F.lit(common.buckets_for(counts.get(n, 0), per_bucket)) for n in range(capacity + 1))), F.col("length").cast("int"))
+    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), n_buckets))
     before = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     place = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
