@@ -10,19 +10,24 @@ log10(c + 1) is shared with the base score, and
 
 Word counts cover all training documents and are joined to the tokens of all
 documents by hash; the most frequent words, ``COMMON`` at most, are broadcast,
-so no frequent word meets the join.  Baum-Welch counts are summed
-across partitions by Spark.  Training is incremental: the sequences are dealt
-into ``SLOTS`` slots by a hash; each of the first ``ROUNDS`` rounds takes
-another slot and all remaining slots make the last round, so each training
-token gives its expected counts once.  For these counts sequences are cut into
-segments of ``SEGMENT`` tokens; the score is the exact scaled forward recursion
-over the whole sequence.
+so no frequent word meets the join.  Baum-Welch counts are summed across
+partitions by Spark.  Training begins with ``ROUNDS`` rounds over one of
+``SLOTS`` slots of the sequences each, which only form the states: their counts
+pass on to the next round and are then dropped.  ``SWEEPS`` rounds over all
+training sequences follow, and the model is what the last of them counts, where
+each training token gives its expected counts once.  For these counts sequences are
+cut into segments of ``SEGMENT`` tokens, each of which begins with the states of
+the model's long run; the score is the exact scaled forward recursion over the
+whole sequence.  Slots go by a hash of the row's id and classes, so the model
+doesn't depend on how rows are partitioned (but for the order of float sums).
 
 Words are identified by 64-bit hashes of their lower-cased bytes.
 
 Defined results: null and empty texts are the end token alone; with no training
 document c, N and V are 0, every word is unknown, and base_score is 0; repeated
-rows count as often as they occur.
+rows count as often as they occur; a null id counts as an empty text in the
+remainder, so such rows are learnt from or held out together; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ SUFFIX = 3
 #: Classes: own words, cells, the end.
 END = OWN + CELLS
 CLASSES = END + 1
-SLOTS, ROUNDS, SEGMENT = 64, 8, 128
+SLOTS, ROUNDS, SWEEPS, SEGMENT = 64, 8, 2, 128
 #: Cells an octave in the histogram of word counts.
 STEPS = 64
 
@@ -215,13 +220,13 @@ class Hmm:
         begin, size, place = begin[order], size[order], place[order]
         emit = np.ascontiguousarray(self.emit.T).astype(np.float32)
         move = self.move.astype(np.float32)
-        first = self.start.astype(np.float32)
+        first, usual = self.start.astype(np.float32), np.linalg.matrix_power(self.move.T, 256).mean(1).astype(np.float32)
         for lo in range(0, len(begin), 8192):
             at, n = begin[lo : lo + 8192], size[lo : lo + 8192]
             steps = int(n[0])
             active = np.searchsorted(-n, -np.arange(1, steps + 1), side="right")  # segments that reach step t
             alpha, scale, seen = [], [], []
-            a = np.where(place[lo : lo + 8192, None] == 0, first, np.float32(1 / k))
+            a = np.where(place[lo : lo + 8192, None] == 0, first, usual)
             for t in range(steps):
                 m = int(active[t])
                 o = classes[at[:m] + t]
@@ -291,34 +296,40 @@ def _classes(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(b, "<u2") for b in column.to_pylist()]
 
 
-def train(table: DataFrame, lexicon: Lexicon) -> Hmm:
-    """Baum-Welch rounds over the training rows of ``table``."""
+def count_round(rows: DataFrame, model: Hmm) -> np.ndarray:
+    """Expected counts of all ``rows`` (classes), summed by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(STATES + STATES**2 + STATES * CLASSES)
+        for batch in batches:
+            parts = _classes(batch.column(0))
+            while parts:
+                size = np.cumsum([len(p) for p in parts])
+                some = max(1, int(np.searchsorted(size, 1_000_000)))
+                total += model.expected(np.concatenate(parts[:some]), np.array([len(p) for p in parts[:some]]))
+                parts = parts[some:]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "x"])
+
+    total = np.zeros(STATES + STATES**2 + STATES * CLASSES)
+    for r in rows.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # one row a parameter
+        total[r["i"]] = r["x"]
+    return total
+
+
+def train(table: DataFrame, lexicon: Lexicon) -> tuple[Hmm, np.ndarray]:
+    """The model after all rounds over the training rows of ``table``, and the counts of the last one."""
     model = Hmm(lexicon.weight)
-    rows = table.where("NOT held_out").select("classes", F.pmod(F.xxhash64("row"), F.lit(SLOTS)).alias("slot"))
-    held = np.zeros(STATES + STATES**2 + STATES * CLASSES)
-    for i in range(ROUNDS + 1):
-        now = rows.where(F.col("slot") == i) if i < ROUNDS else rows.where(F.col("slot") >= ROUNDS)
-
-        def run(batches: Iterator[pa.RecordBatch], model: Hmm = model) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(STATES + STATES**2 + STATES * CLASSES)
-            for batch in batches:
-                parts = _classes(batch.column(0))
-                while parts:
-                    size = np.cumsum([len(p) for p in parts])
-                    some = max(1, int(np.searchsorted(size, 1_000_000)))
-                    total += model.expected(np.concatenate(parts[:some]), np.array([len(p) for p in parts[:some]]))
-                    parts = parts[some:]
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "x"])
-
-        sums = now.select("classes").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # one row a parameter
-        total = np.zeros_like(held)
-        for r in sums:
-            total[r["i"]] = r["x"]
-        # what earlier rounds counted weighs as much as it holds, but fades while the states still form
-        held = held * (0.3 if i < ROUNDS else 1.0) + total
-        model.update(held)
-    return model
+    rows = table.where("NOT held_out").select("doc_id", "classes")
+    slot = F.pmod(F.xxhash64("doc_id", "classes"), F.lit(SLOTS))
+    formed = np.zeros(STATES + STATES**2 + STATES * CLASSES)
+    for i in range(ROUNDS):
+        formed = formed * 0.3 + count_round(rows.where(slot == i).select("classes"), model)
+        model.update(formed)
+    for _ in range(SWEEPS):
+        counts = count_round(rows.select("classes"), model)
+        model.update(counts)
+    return model, counts
 
 
 def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -326,7 +337,7 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     marked = docs.select("doc_id", "text", (common.remainder(F.col("doc_id"), 7) == 2).alias("held_out"))
     lexicon = Lexicon(spark, marked.where("NOT held_out"))
     table = common.materialise(spark, sequences(marked, lexicon).withColumn("row", F.monotonically_increasing_id()), "sequences")
-    model = train(table, lexicon)
+    model, _ = train(table, lexicon)
     log_size = lexicon.log_size
 
     kind = docs.schema["doc_id"].dataType.simpleString()
