@@ -14,7 +14,7 @@ Features are the presence of hashed words, word beginnings and inner character
 runs, the ``n_features`` most frequent in P of those whose rate in U is about pi times
 that, as it is if toxic texts alone hold them.
 Training reads bounded samples (``n_positive``, ``n_unlabelled`` documents,
-the first by a hash of the id); scoring reads every whole text.
+the first by a hash of the id, of rows that share an id one); scoring reads every whole text.
 
 Defined results: null and empty texts are scored by the model's constant; with
 no confirmed toxic document every score is 0; a null doc_id is never trained
@@ -135,10 +135,10 @@ def train_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed:
 
 
 def first_ids(rows: DataFrame, count: int, n: int) -> DataFrame:
-    """The first ``n`` of ``count`` ids by their hash; a cut at 1.5 times that share keeps what tasks hand on to the sort small."""
+    """The first ``n`` of about ``count`` distinct ids by their hash; a cut at 1.5 times that share keeps what tasks hand on to the sort small."""
     order = F.xxhash64("doc_id")
     cut = (1 << 63) - 1 if 1.5 * n >= count else int(-(1 << 63) + (1 << 64) * (1.5 * n / count))
-    return rows.where(order <= F.lit(cut)).select("doc_id").orderBy(order, "doc_id").limit(n)
+    return rows.where(order <= F.lit(cut)).select("doc_id").distinct().orderBy(order, "doc_id").limit(n)
 
 
 class Model:
@@ -163,10 +163,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, n_positive: int
     prior = min(max(n_toxic / n_known, 1e-4), 0.5)
     usable = docs.where(training_row(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id")
     confirmed = first_ids(known.where("toxic > 0"), n_toxic, n_positive)  # bounded, so the joins may broadcast it
-    other = first_ids(usable, usable.count(), n_unlabelled)
+    # rows that share an id give it once, so copies of one id can't fill the sample
+    other = first_ids(usable, usable.agg(F.approx_count_distinct("doc_id")).first()[0], n_unlabelled)
     ids = common.materialise(spark, confirmed.withColumn("kind", F.lit(1)).union(other.withColumn("kind", F.lit(0))), "sample")
-    texts = docs.select("doc_id", "text")
-    sample = common.materialise(spark, texts.join(F.broadcast(ids), "doc_id").select("text", "kind"), "sample-texts")
+    # one text an id: the one with the smallest digest, which is combined before the shuffle
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = texts.groupBy("doc_id", "kind").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = common.materialise(spark, texts.select("text", "kind"), "sample-texts")
     n = {r["kind"]: r["n"] for r in sample.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Model(np.zeros(0, np.int64), None)
@@ -191,31 +194,30 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, n_positive: int
     return Model(chosen, np.stack([train_nnpu(x[1], x[0], prior, seed) for seed in range(models)]))
 
 
-def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all by default) and ``score``."""
-    columns = docs.columns if columns is None else columns
-    chosen = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("__text"))
-    schema = T.StructType([*chosen.drop("__text").schema.fields, T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` and, last, ``score``; no column of theirs may bear that name."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, column_of = Features(), _columns(model.chosen)
         for batch in batches:
-            for part in common.slices(batch, "__text", 2_000_000):
-                at = part.schema.get_field_index("__text")
-                s = model.score(part.column(at), features, column_of)
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(s)], [*part.schema.names[:at], "score"])
+            for part in common.slices(batch, place, 2_000_000):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(part.column(place), features, column_of))], [*part.schema.names, "score"])
 
-    return chosen.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    scored = score(docs, fit(spark, docs, labels), ["doc_id"])
+    scored = score(docs.select("doc_id", "text"), fit(spark, docs, labels))
     return scored.select("doc_id", (common.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the scorer doesn't call toxic, with all their columns."""
-    named = docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs
-    kept = score(named, fit(spark, docs, labels)).where("score < 0.5").drop("score")
-    return kept.toDF(*docs.columns)
+    mine = common.Renamed(docs)
+    text = mine.name("text")
+    named = mine.df.withColumnRenamed(text, "text")
+    kept = score(named, fit(spark, docs.select("doc_id", "text"), labels)).where("score < 0.5")
+    return mine.back(kept.withColumnRenamed("text", text))
