@@ -67,5 +67,6 @@ def clashing(spark, docs):
     """Columns with the names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    extra = {c: F.lit(1) for c in ("score", "fp", "row", "salt", "kept", "length", "bucket", "group", "size", "maybe", "shard", "kind", "bits", "label", "words")}
-    return docs.withColumns(extra)
+    extra = {c: F.lit(1) for c in ("score", "fp", "row", "salt", "kept", "length", "bucket", "group", "size", "maybe", "shard", "kind", "bits", "label", "words", "sha", "points", "parts", "part", "node", "class", "c0", "c1", "gone", "keep", "bloom_page",
+                                       "bloom_map", "__sha", "__points", "__salt", "__maybe", "__gone", "__node", "__text", "__n_words", "__kept", "__row", "text_", "lang_")}
+    return docs.withColumns(extra)

@@ -104,7 +104,8 @@ def test_majority_over_255_shingles():
         assert int(got) == sum(1 << b for b in range(64) if 2 * int(((some >> np.uint64(b)) & np.uint64(1)).sum()) > n)
 
 
-def test_code_covers_and_replicas_reach():
+@pytest.mark.parametrize("blocks", [simhash.NARROW, simhash.WIDE])
+def test_code_covers_and_replicas_reach(blocks):
     nearest, second = simhash.hamming_code()
     code = set(nearest.tolist())
     assert len(code) == 2048 and all(bin(w ^ int(c)).count("1") <= 1 for w, c in enumerate(nearest))
@@ -115,15 +116,16 @@ def test_code_covers_and_replicas_reach():
         for i in range(len(y)):
             for b in rng.choice(64, d, replace=False):
                 y[i] ^= np.uint64(1) << np.uint64(b)
-        kx, rx, hx = simhash.anchors(x, nearest, second)
-        ky, ry, _ = simhash.anchors(y, nearest, second)
+        kx, rx, hx = simhash.anchors(x, nearest, second, blocks)
+        ky, ry, _ = simhash.anchors(y, nearest, second, blocks)
         homes, reach = set(zip(kx[hx].tolist(), rx[hx].tolist(), strict=True)), set(zip(ky.tolist(), ry.tolist(), strict=True))
         assert {r for _, r in homes & reach} == set(range(400))
 
 
-@pytest.mark.parametrize("crowd", [4096, 8])
-def test_links_of_dense_and_random_fingerprints(spark, crowd, monkeypatch):
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+@pytest.mark.parametrize(("crowd", "many", "held"), [(4096, 1 << 28, 50_000), (8, 1 << 28, 20), (4096, 1, 50_000)])
+def test_links_of_dense_and_random_fingerprints(spark, crowd, many, held, monkeypatch):
+    for name, value in (("CROWD", crowd), ("MANY", many), ("HELD", held)):
+        monkeypatch.setattr(simhash, name, value)
     rng = np.random.default_rng(4)
     values = set(rng.integers(0, 1 << 63, 150, np.uint64).tolist())
     centre = 0x123456789ABCDEF0
@@ -212,3 +214,29 @@ def test_one_group_holds_most(spark):
     rows = [(i, "same text") for i in range(300)] + [(1000 + i, f"text {i}") for i in range(20)]
     got = sharding.shard(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), 8).collect()
     assert len({r["shard"] for r in got if r["doc_id"] < 300}) == 1 and len(got) == 320
+
+
+def test_ids_of_text(spark):
+    rows = [("b", "one two"), ("a", "onetwo"), (None, "one  two"), ("c", "other")]
+    got = {(r["doc_id"], r["keep_id"], r["kept"]) for r in exactdedup.mark_duplicates(spark, spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("b", None, False), ("a", None, False), (None, None, True), ("c", "c", True)}
+
+
+def test_crowded_groups(spark, monkeypatch):
+    from vetframe.llm import common
+
+    monkeypatch.setattr(common, "crowd", lambda rows: 3)
+    rows = [(i, "same words here") for i in range(40)] + [(100, "same  words here"), (101, "another text"), (102, "anothertext")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = exactdedup.mark_duplicates(spark, df).collect()
+    assert len(got) == 43 and {r["doc_id"] for r in got if r["kept"]} == {100, 101} and {r["group_size"] for r in got if r["doc_id"] < 101} == {41}
+    assert {r["doc_id"] for r in exactdedup.deduplicate(spark, df).collect()} == {100, 101}
+    edges = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(59, 60), (61, 62)], "a bigint, b bigint")
+    assert dict(components.components(spark, edges).collect()) == {**dict.fromkeys(range(61), 0), 61: 61, 62: 61}
+    assert {r["component_id"] for r in simhash.near_duplicates(spark, df).where("doc_id < 101").collect()} == {0}
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    rows = [(1, "alpha beta gamma delta epsilon"), (2, "alpha beta gamma delta epsilon"), (2, "something else that is quite another text")]
+    got = simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted([rows[0], rows[2]])

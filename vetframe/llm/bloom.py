@@ -1,9 +1,11 @@
 """Bloom filters as bitmap tables, built and read by DataFrame operators.
 
-A filter of ``bits`` cells is a table (page, map) of 4 kB bitmaps, at most
-``MOST_BITS`` cells (16 MB) whatever the input holds: a proven bound, so it is
-broadcast.  Far beyond that many keys more rows test positive; those who use a
-filter let positives go on to an exact join, so results stay the same.
+A filter of ``bits`` cells is a table (page, map) of 4 kB bitmaps.  A key has
+its page and ``HASHES`` cells in it, so one join reads them all.  A filter holds
+``MOST_BITS`` cells (128 MB) at most: a proven bound, so it is broadcast.  At
+60 million keys there are 16 cells a key; beyond, more rows test positive (at
+16 times as many nearly all).  Those who use a filter let positives go on to an
+exact join, so results stay the same.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 HASHES = 2
 PAGE = 32768  # bits of one bitmap of bitmap_construct_agg
-MOST_BITS = 1 << 27
+MOST_BITS = 1 << 30
 
 
 def filter_bits(rows: int) -> int:
@@ -24,25 +26,31 @@ def filter_bits(rows: int) -> int:
     return bits
 
 
-def cells(keys: list[str], bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(*keys, F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+def page_of(keys: list[Column], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(max(bits // PAGE, 1)))
 
 
-def bitmaps(rows: DataFrame, keys: list[str], bits: int, least: int = 1) -> DataFrame:
+def cells(keys: list[Column], bits: int) -> list[Column]:
+    """The places of a key's cells in its page."""
+    return [F.pmod(F.xxhash64(*keys, F.lit(i)), F.lit(min(bits, PAGE))) for i in range(HASHES)]
+
+
+def bitmaps(rows: DataFrame, keys: list[Column], bits: int, least: int = 1) -> DataFrame:
     """Bitmaps of the cells that ``least`` rows or more set; counts are combined before the shuffle."""
-    cell = rows.select(F.explode(F.array(*cells(keys, bits))).alias("cell")).groupBy("cell")
+    cell = rows.select(page_of(keys, bits).alias("page"), F.explode(F.array(*cells(keys, bits))).alias("cell")).groupBy("page", "cell")
     some = cell.agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return some.groupBy(F.floor(F.col("cell") / PAGE).alias("page")).agg(F.expr(f"bitmap_construct_agg(cell % {PAGE})").alias("map"))
+    return some.groupBy("page").agg(F.expr("bitmap_construct_agg(cell)").alias("map"))
+
 
+def probe(rows: DataFrame, maps: DataFrame, keys: list[Column], bits: int, name: str = "maybe") -> DataFrame:
+    """``rows`` with the boolean ``name``: false only if the key is certainly not in the filter.
 
-def probe(rows: DataFrame, maps: DataFrame, keys: list[str], bits: int, name: str = "maybe") -> DataFrame:
-    """``rows`` with the boolean ``name``: false only if the key is certainly not in the filter."""
-    columns, found = rows.columns, F.lit(True)
-    for i, cell in enumerate(cells(keys, bits)):
-        rows = rows.withColumn(f"__cell{i}", cell).withColumn(f"__page{i}", F.floor(F.col(f"__cell{i}") / PAGE))
+    The columns of ``rows`` must not be named like those made here.
+    """
+    columns, found = rows.columns, F.col("bloom_map").isNotNull()
+    rows = rows.withColumns({"bloom_page": page_of(keys, bits)} | {f"bloom_cell{i}": c for i, c in enumerate(cells(keys, bits))})
+    rows = rows.join(F.broadcast(maps.select(F.col("page").alias("bloom_page"), F.col("map").alias("bloom_map"))), "bloom_page", "left")
     for i in range(HASHES):
-        rows = rows.join(F.broadcast(maps.select(F.col("page").alias(f"__page{i}"), F.col("map").alias(f"__map{i}"))), f"__page{i}", "left")
-        byte = F.conv(F.hex(F.expr(f"substring(__map{i}, cast(__cell{i} % {PAGE} div 8 + 1 as int), 1)")), 16, 10).cast("int")
-        bit = F.call_function("shiftright", byte, (F.col(f"__cell{i}") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-        found = found & F.coalesce(bit, F.lit(False))
-    return rows.select(*(F.col(f"`{c}`") for c in columns), found.alias(name))
+        byte = F.conv(F.hex(F.expr(f"substring(bloom_map, cast(bloom_cell{i} div 8 + 1 as int), 1)")), 16, 10).cast("int")
+        found = found & (F.call_function("shiftright", byte, (F.col(f"bloom_cell{i}") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return rows.select(*columns, F.coalesce(found, F.lit(False)).alias(name))

@@ -77,6 +77,37 @@ def written() -> int:
     return len(_written)
 
 
+#: A key with more than one in so many of the rows is crowded; there are no more such keys than that.
+CROWDED = 4096
+
+
+def crowd(rows: int) -> int:
+    """How many rows of ``rows`` a key holds at most without being crowded."""
+    return max(1000, rows // CROWDED)
+
+
+def crowded_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The crowded keys of ``rows``, a table that was written, or None."""
+    n = rows.count()
+    if n <= crowd(0):
+        return None
+    hot = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > crowd(n)).select(key).collect()  # CROWDED at most
+    return rows.sparkSession.createDataFrame(hot, rows.select(key).schema) if hot else None
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """``rows`` joined with ``table``, in which ``key`` is unique.
+
+    What ``table`` says of the crowded keys ``hot`` is broadcast, so no task
+    meets all rows of one key.
+    """
+    if hot is None:
+        return rows.join(table, key)
+    hot = F.broadcast(hot)
+    usual = rows.join(hot, key, "left_anti").join(table, key)
+    return usual.unionByName(rows.join(F.broadcast(table.join(hot, key, "left_semi")), key))
+
+
 class Renamed:
     """``docs`` with its columns named by position, so that no name of an operator clashes with one of theirs."""
 
@@ -112,9 +143,9 @@ def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, -(-rows // per_bucket))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about ``limit`` bytes at most (one row at least)."""
-    at, text = 0, batch.column(batch.schema.get_field_index(column))
+    at, text = 0, batch.column(column)
     if not batch.num_rows:
         return
     ends = np.cumsum(text_lengths(text))

@@ -1,7 +1,9 @@
 """Connected components over an edge table: smallest label of the neighbours, then pointer jumping.
 
 Every round is written to the shared folder, so a lost executor repeats one
-round at most.  Nothing but the number of changes reaches the driver.
+round at most.  Nothing but the number of changes reaches the driver.  Nodes
+with very many neighbours and labels of very many nodes are looked up in a
+bounded broadcast (``common.look_up``).
 """
 
 from __future__ import annotations
@@ -18,14 +20,15 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     Labels fall along the edges and then jump to the label of the label, so a
     chain of n links takes about log2(n) rounds.
     """
-    both = common.materialise(spark, edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = common.materialise(spark, edges.select("a", "b").union(turned).where("a <> b").distinct(), "edges")
     labels = common.materialise(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+    hubs = common.crowded_keys(both, "b")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        near = common.look_up(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = common.materialise(spark, labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "lower")
         of = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = lower.join(of, "label", "left").select("node", "was", F.least("label", "next").alias("label"))
-        new = common.materialise(spark, jumped, "labels")
+        new = common.materialise(spark, common.look_up(lower, of, "label", common.crowded_keys(lower, "label")).select("node", "was", F.least("label", "next").alias("label")), "labels")
         changed = new.where("was <> label").limit(1).count()
         labels = new.select("node", "label")
         if not changed:

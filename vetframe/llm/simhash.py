@@ -9,10 +9,15 @@ replicated to every anchor within radius plus threshold, 1 + 1.  If x and y
 agree up to one bit in the block, y is among the replicas at the home of x, so
 comparing homes with replicas at each anchor loses no link.
 
+The homes at an anchor grow with the number of fingerprints, and with them the
+comparisons of each.  From ``MANY`` distinct ones on blocks are twice as wide:
+the 64 bits are cut into five, of which some two together differ in one bit at
+most, so each of the ten pairs is a block, with 512 times as many anchors.
+
 Equal fingerprints are one row before that, so copies never meet.  At an anchor
 the links are reduced to a spanning forest at once; no list of all pairs
-arises.  The homes of a crowded anchor are dealt into parts of bounded size, of
-which each meets all replicas.
+arises.  The homes of a crowded anchor are dealt into parts of bounded size; the
+replicas stream past each part.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; a text of fewer words than a shingle is one shingle; rows with a null
@@ -22,23 +27,28 @@ doc_id take part, and a component whose ids are all null has a null id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import bloom, common
+from . import bloom, common, nearcopies
 from .components import components
 
 DISTANCE = 4
-#: First bit and width of each block.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
+#: Runs (first bit, width) of each block.
+NARROW = (((0, 21),), ((21, 21),), ((42, 22),))
+WIDE = tuple(combinations(((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)), 2))
+MANY = 1 << 28
 CODED = 15
 #: Homes in one part of an anchor.
 CROWD = 4096
-SALTS = 16
+#: Rows of one anchor that a task holds.
+HELD = 50_000
 
 
 def fingerprint_texts(texts: list[bytes], shingle: int) -> np.ndarray:
@@ -82,6 +92,19 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprinted(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``docs`` and, last, ``fp``."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, place, 2_000_000):
+                texts = pc.fill_null(part.column(place), "").cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprint_texts(texts, shingle).view(np.int64))], [*part.schema.names, "fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
@@ -112,17 +135,20 @@ def hamming_code() -> tuple[np.ndarray, np.ndarray]:
     return nearest, second
 
 
-def anchors(fp: np.ndarray, nearest: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(fp: np.ndarray, nearest: np.ndarray, second: np.ndarray, blocks: tuple = NARROW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, row of ``fp`` and whether it is the home, for all blocks and all replicas."""
     keys, rows, home = [], [], []
     every = np.arange(len(fp))
-    for block, (shift, width) in enumerate(BLOCKS):
-        value = (fp >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)
+    for number, block in enumerate(blocks):
+        value, width = np.zeros(len(fp), np.int64), 0
+        for shift, size in block:
+            value |= ((fp >> np.uint64(shift)).astype(np.int64) & ((1 << size) - 1)) << width
+            width += size
         coded, free = value & ((1 << CODED) - 1), value >> CODED
         own = nearest[coded]
 
         def add(code: np.ndarray, rest: np.ndarray, row: np.ndarray, at_home: bool) -> None:
-            keys.append(np.int64(block) << 40 | code << 10 | rest)
+            keys.append(np.int64(number) << 40 | code << 12 | rest)
             rows.append(row)
             home.append(np.full(len(row), at_home))
 
@@ -161,15 +187,16 @@ def forest(homes: np.ndarray, others: np.ndarray, distance: int) -> tuple[np.nda
 
 def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) that span the components of ``distinct`` (fp) under Hamming distance ``distance``."""
-    if distance // len(BLOCKS) > 1:
+    if distance > DISTANCE:
         raise ValueError("the anchors cover one differing bit a block")
+    blocks = WIDE if distinct.count() >= MANY else NARROW
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest, second = hamming_code()
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 fp = batch.column(0).slice(at, 20_000).to_numpy().view(np.uint64)
-                key, row, home = anchors(fp, nearest, second)
+                key, row, home = anchors(fp, nearest, second, blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +218,10 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE) ->
             key, fp, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             held.append((key, fp.view(np.uint64), ~home))
             if key[0] == key[-1] and len(held) > 1 and held[0][0][0] == key[0]:
+                if sum(len(h[0]) for h in held) > HELD:  # its homes stay, the replicas that have come are compared
+                    key, fp, home = map(np.concatenate, zip(*held, strict=True))
+                    yield groups(key, fp, home)
+                    held = [(key[home], fp[home], home[home])]
                 continue  # one anchor goes on
             key, fp, home = map(np.concatenate, zip(*held, strict=True))
             last = int(np.searchsorted(key, key[-1]))
@@ -227,15 +258,11 @@ class NearDuplicates:
         alone = distinct.join(labels, "fp", "left_anti").select("fp", F.col("least").alias("component_id"), F.col("n").alias("component_size"))
         linked = common.materialise(spark, distinct.join(labels, "fp"), "linked")
         groups = linked.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-        # a component may hold a third of the fingerprints, so its rows are dealt into parts for the join
-        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-        self.classes = alone.unionByName(dealt.join(salted, ["label", "salt"]).select("fp", "component_id", "component_size"))
+        self.classes = alone.unionByName(common.look_up(linked, groups, "label", common.crowded_keys(linked, "label")).select("fp", "component_id", "component_size"))
 
     def members(self) -> DataFrame:
-        """doc_id, fp, component_id, component_size of every document; rows of a common fingerprint are salted."""
-        salted = self.classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return self.docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["fp", "salt"]).drop("salt")
+        """doc_id, fp, component_id, component_size of every document."""
+        return common.look_up(self.docs, self.classes, "fp", common.crowded_keys(self.docs, "fp"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, distance: int = DISTANCE) -> DataFrame:
@@ -244,17 +271,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, dist
     return m.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 4, distance: int = DISTANCE) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 4, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component does: the one with the smallest id.
 
-    A Bloom filter over the ids that go lets all other rows pass without a
-    shuffle.  Rows with a null id stay; so do rows that repeat the id that stays.
+    With ``similarity`` texts are near copies by their shingles instead, and candidates are found as ``nearcopies`` says.
+
+    A Bloom filter over the ids of rows that go lets other rows pass without a
+    shuffle; of the rest those go whose id and fingerprint both do.  Rows with a null id stay; so do rows that repeat the id that stays.
     """
-    members = NearDuplicates(spark, docs, shingle, distance).members()
-    gone = common.materialise(spark, members.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    if similarity is not None:
+        return nearcopies.keep_one(spark, docs, shingle, similarity)
+    mine = common.Renamed(docs)
+    id_, text = mine["doc_id"], mine["text"]
+    members = NearDuplicates(spark, mine.df.select(id_.alias("doc_id"), text.alias("text")), shingle, distance).members()
+    gone = common.materialise(spark, members.where("doc_id <> component_id").select("doc_id", "fp").distinct(), "gone")
+    ids = gone.select(F.col("doc_id").alias("gone"))
     bits = bloom.filter_bits(gone.count())
-    maps = common.materialise(spark, bloom.bitmaps(gone, ["__gone"], bits), "gone-cells")
-    seen = bloom.probe(docs.withColumn("__gone", F.col("doc_id")), maps, ["__gone"], bits, "__maybe")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    maybe = seen.where("__maybe").join(gone, "__gone", "left_anti")
-    return seen.where("NOT __maybe").select(*columns).unionByName(maybe.select(*columns))
+    maps = common.materialise(spark, bloom.bitmaps(ids, [F.col("gone")], bits), "gone-cells")
+    seen = bloom.probe(mine.df, maps, [id_], bits)
+    maybe = seen.where("maybe").drop("maybe")
+    printed = fingerprinted(maybe, mine.name("text"), shingle)
+    stay = printed.join(gone, (printed["fp"] == gone["fp"]) & (printed[mine.name("doc_id")] == gone["doc_id"]), "left_anti")
+    return mine.back(seen.where("NOT maybe").select(*mine.columns).unionByName(stay.select(*mine.columns)))
