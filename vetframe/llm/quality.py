@@ -13,8 +13,8 @@ by lang: a document of such a language is compared with its own one, too.  Commo
 ``SHORT`` letters) that make up 0.5 % of their language's words, the 16 most frequent of each.
 
 Defined results: null counts as a text without words, which fails the base
-rules; without any reference only the base rules decide; repeated rows are
-judged alike; an empty table gives no rows.
+rules; without any reference only the base rules decide; repeated rows and ids
+are judged alike, and a null id passes through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +40,12 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _paired(hashes: Column, gap: int) -> Column:
+    """Hashes of each entry with the one ``gap`` places on."""
+    n = F.greatest(F.size(hashes) - gap, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 1 + gap, n), lambda a, b: F.xxhash64(a, b))
+
+
 def _repeated(windows: Column) -> Column:
     """Words that the windows found twice or more cover, from the array of window hashes."""
 
@@ -55,11 +61,16 @@ def _repeated(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(_let(_let(pairs, lambda p: F.sort_array(neighbours(p))), covered))
 
 
-def class_counts(text: Column, words: Column) -> dict[str, Column]:
-    """How many characters of each class a text has; its words tell the white space, its bytes the wide characters."""
-    counts = {name: F.length(F.regexp_replace(text, f"[^{inside}]+", "")) for name, inside in COUNTED.items()}
+def uncommon(text: Column) -> Column:
+    """A text without small ASCII letters and white space, a tenth of it, in which the classes are counted."""
+    return F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")
+
+
+def class_counts(text: Column, short: Column, words: Column) -> dict[str, Column]:
+    """How many characters of each class a text has, from its ``uncommon`` part, its text in one word, and its bytes."""
+    counts = {name: F.length(F.regexp_replace(short, f"[^{inside}]+", "")) for name, inside in COUNTED.items()}
     points = F.length(text)
-    counts |= {"space": points - F.length(F.array_join(words, "")), "wide": F.octet_length(text) - points}
+    counts |= {"space": points - F.length(words), "wide": F.octet_length(text) - points}
     return counts
 
 
@@ -71,13 +82,15 @@ def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with the base counts, the character classes and the words (columns that begin with ``__``)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("__words", F.filter(F.split(text, common.SPACE + "+"), lambda w: w != ""))
-    df = df.withColumns({f"__{name}": c for name, c in class_counts(text, F.col("__words")).items()} | {"__points": F.length(text)})
+    df = df.withColumn("__uncommon", uncommon(text))
+    df = df.withColumns({f"__{name}": c for name, c in class_counts(text, F.col("__uncommon"), F.array_join("__words", "")).items()} | {"__points": F.length(text)})
     df = df.withColumn("__rest", rest(F.col("__points"), {c: F.col(f"__{c}") for c in CLASSES[:-1]}))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     df = df.withColumns({"__lines": lines, "__hashes": F.transform("__words", lambda w: F.xxhash64(w))})
     n = F.size("__words")
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("__windows", F.transform(starts, lambda i: F.xxhash64(*(F.get(F.col("__hashes"), i + j) for j in range(WINDOW)))))
+    df = df.withColumn("__windows", _paired(F.col("__hashes"), 1))
+    for gap in (2, 4):  # hashes of two, four and eight words
+        df = df.withColumn("__windows", _paired(F.col("__windows"), gap))
     return df.withColumns(
         {
             "__n_words": n.cast("long"),
@@ -104,26 +117,26 @@ class References:
         if not sizes:
             return
         text = F.col("text")
-        split = known.select("lang", "text", F.filter(F.split(text, common.SPACE + "+"), lambda w: w != "").alias("words"))
-        counts = class_counts(text, F.col("words"))
-        parts = split.select("lang", "words", F.length(text).alias("points"), *(c.alias(name) for name, c in counts.items()))
-        parts = parts.withColumn("rest", rest(F.col("points"), {c: F.col(c) for c in CLASSES[:-1]}))
-        # one pass: short words count one each, and the totals go along under names that no word has
-        pair = lambda w, n: F.struct(w.alias("w"), n.cast("long").alias("n"))
-        short = F.transform(F.filter("words", lambda w: F.length(w) <= SHORT), lambda w: pair(F.lower(w), F.lit(1)))
-        totals = F.array(*(pair(F.lit(f" {c}"), F.col(c)) for c in CLASSES), pair(F.lit(" words"), F.size("words")))
-        found = parts.select("lang", F.inline(F.concat(short, totals))).groupBy("lang", "w").agg(F.sum("n").alias("n"))
-        found = common.materialise(docs.sparkSession, found, "short-words")
-        total = found.where("w = ' words'").select("lang", F.col("n").alias("all_words"))
+        parts = known.select("lang", "text", uncommon(text).alias("short"), F.length(text).alias("points"))
+        counts = class_counts(text, F.col("short"), F.regexp_replace(text, common.SPACE + "+", ""))
+        parts = parts.select("lang", "points", *(c.alias(name) for name, c in counts.items()))
+        parts = parts.withColumn("rest", rest(F.col("points"), {c: F.col(c) for c in CLASSES[:-1]})).groupBy("lang").agg(*(F.sum(c).alias(c) for c in CLASSES))
+        # short words under their own name; the others, and the classes, under names that no word has
+        totals = parts.select("lang", F.inline(F.array(*(F.struct(F.lit(f" {c}").alias("w"), F.col(c).cast("long").alias("n")) for c in CLASSES))))
+        words = known.select("lang", F.explode(F.split(text, common.SPACE + "+")).alias("w")).where("w <> ''")
+        short = F.when(F.length("w") <= SHORT, F.lower("w")).otherwise(F.lit(" words"))
+        found = words.select("lang", short.alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+        found = common.materialise(docs.sparkSession, found.unionByName(totals), "short-words")
+        total = found.where("w = ' words' OR w NOT LIKE ' %'").groupBy("lang").agg(F.sum("n").alias("all_words"))
         if len(sizes) > len(languages):
             self.rare = rare_references(found.where(~F.col("lang").isin(languages)), total)
-        often = found.where(F.col("lang").isin(languages)).join(F.broadcast(total), "lang").where((F.col("n") >= F.col("all_words") / 200) | F.col("w").startswith(" ")).collect()  # 200 and the totals a language
-        n_of = {(r["lang"], r["w"]): r["n"] for r in often}
+        often = found.where(F.col("lang").isin(languages)).join(F.broadcast(total.where(F.col("lang").isin(languages))), "lang").where((F.col("n") >= F.col("all_words") / 200) | F.col("w").startswith(" ")).collect()  # 200 and the totals a language, of which there are at most SHARE
+        n_of, all_words = {(r["lang"], r["w"]): r["n"] for r in often}, {r["lang"]: r["all_words"] for r in often}
         top = {x: sorted((r for r in often if r["lang"] == x and r["w"][0] != " "), key=lambda r: (-r["n"], r["w"]))[:EACH] for x in languages}
         self.words = sorted({r["w"] for rows in top.values() for r in rows})
         for x in languages:
             c = [n_of.get((x, f" {name}"), 0) for name in CLASSES]
-            n = n_of.get((x, " words"), 0)
+            n = all_words.get(x, 0)
             if not sum(c):
                 continue
             self.classes.append([v / sum(c) for v in c])
@@ -203,5 +216,8 @@ def drop_poor(docs: DataFrame) -> DataFrame:
     verdict in full there, of a size that doubles with each of them.  It moves no
     filter past a row number, so one stands beside the verdict.
     """
-    out = judged(docs, References(docs)).withColumn("__row", F.monotonically_increasing_id())
-    return out.where("__kept AND __row >= 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    mine = common.Renamed(docs)
+    text, lang = mine.name("text"), mine.name("lang")
+    named = mine.df.withColumnRenamed(text, "text").withColumnRenamed(lang, "lang")
+    out = judged(named, References(named)).withColumn("__row", F.monotonically_increasing_id())
+    return mine.back(out.where("__kept AND __row >= 0").withColumnRenamed("text", text).withColumnRenamed("lang", lang))
