@@ -211,14 +211,14 @@ BASES = (1_170_943_853, 1_903_280_177)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base^2, ... modulo ``PRIME``."""
+    """1, base, base^2, ... modulo ``PRIME``, in 32 bits each."""
     out = np.ones(max(n, 1), np.uint64)
     have, step = 1, base
     while have < n:
         more = min(have, n - have)
         out[have : have + more] = out[:more] * np.uint64(step) % np.uint64(PRIME)
         have, step = have + more, step * step % PRIME
-    return out
+    return out.astype(np.uint32)
 
 
 class SpanHasher:
