@@ -261,3 +261,61 @@ def test_command_line(spark, clean_root, tmp_path, capsys):
     assert run("merge", root, str(tmp_path / "fixed"), "--out", str(tmp_path / "merged")) == 0
     (tmp_path / "fixed/data.yaml").write_text("names: [Persons, car, cup]\n")
     assert run("merge", root, str(tmp_path / "fixed")) == 1
+
+
+def test_whole_lists_beyond_what_a_report_shows(spark, clean_root, tmp_path, capsys):
+    """201 orphan labels: all go when the plan is applied, and a new one is seen though the report lists only the first 200."""
+    from vetframe import cli
+
+    run = lambda *a: cli.main(list(a), spark)
+    for i in range(201):
+        (clean_root / f"labels/train/o{i:03}.txt").write_text("0 0.5 0.5 0.3 0.2\n")
+    before, plan, out = str(tmp_path / "scan.json"), str(tmp_path / "plan.json"), tmp_path / "mended"
+    run("scan", str(clean_root), "--no-pixels", "--output", "json", "--out", before, "--fix-plan", plan)
+    spec = json.loads((tmp_path / "plan.json").read_text())
+    steps = [s for s in spec["steps"] if s["type"] == "orphan_label_file"]
+    assert (len(steps[0]["targets"]), steps[0]["n_targets"]) == (200, 201)
+    for s in spec["steps"]:
+        s["requires_human_review"] = False
+    (tmp_path / "plan.json").write_text(json.dumps(spec))
+    assert run("apply", str(clean_root), "--plan", plan, "--out", str(out), "--yes") == 0
+    assert not list((out / "labels/train").glob("o*")) and len(list((out / "labels/train").glob("t*.txt"))) == 14
+    assert len(list((out / "images").rglob("*.png"))) == 20 and (out / "images/val/v000.png").read_bytes() == (clean_root / "images/val/v000.png").read_bytes()
+    assert run("recheck", str(clean_root), "--before", before, "--no-pixels") == 0
+    (clean_root / "labels/train/zz.txt").write_text("0 0.5 0.5 0.3 0.2\n")
+    capsys.readouterr()
+    assert run("recheck", str(clean_root), "--before", before, "--no-pixels") == 1
+    assert json.loads(capsys.readouterr().out) == {"resolved": 0, "introduced": 1, "remaining": 201}
+    import shutil
+
+    shutil.rmtree(before + ".items")  # without it only numbers can be compared
+    assert run("recheck", str(clean_root), "--before", before, "--no-pixels") == 1
+    assert json.loads(capsys.readouterr().out)["counted_only"] == ["orphan_label_file"]
+    shutil.rmtree(plan + ".items")
+    assert run("apply", str(clean_root), "--plan", plan, "--out", str(tmp_path / "no"), "--yes") == 2
+
+
+def test_pixels_of_every_format(spark, clean_root, tmp_path):
+    """A val image that copies a train image, and one that is cut: found in YOLO, COCO and VOC alike."""
+    import shutil
+    from argparse import Namespace
+
+    from vetframe import cli
+
+    (clean_root / "images/val/v000.png").write_bytes((clean_root / "images/train/t003.png").read_bytes())
+    whole = (clean_root / "images/train/t005.png").read_bytes()
+    (clean_root / "images/train/t005.png").write_bytes(whole[: len(whole) // 2])
+    to_coco(clean_root, tmp_path / "coco")
+    to_voc(clean_root, tmp_path / "voc")
+    for f in (clean_root / "images").rglob("*.png"):
+        shutil.copy(f, tmp_path / "coco" / f.parent.name)
+        (tmp_path / "voc/JPEGImages").mkdir(exist_ok=True)
+        shutil.copy(f, tmp_path / "voc/JPEGImages")
+    for root in (clean_root, tmp_path / "coco", tmp_path / "voc"):
+        tables = cli._open(spark, Namespace(root=str(root)))
+        result = sweep(spark, tables)
+        found = types(result)
+        assert found["train_val_leakage"].items == ["val/v000"] and found["train_val_leakage"].evidence[0]["note"] == "as train/t003, 0 bits apart"
+        assert found["corrupt_image"].items == ["train/t005"] and set(result.skipped) == {"polygon_scan", "keypoint_scan"}
+    bare = sweep(spark, sources.read_dataset(spark, str(tmp_path / "voc")), pixels=True)
+    assert {"duplicate_scan", "image_integrity_scan"} <= set(bare.skipped) and not set(bare.skipped) & set(bare.ran)

@@ -25,8 +25,9 @@ from .sources import files, images, read_dataset
 
 def _open(spark: SparkSession, args) -> Tables:
     tables = read_dataset(spark, args.root, getattr(args, "format", None)).with_training(getattr(args, "imgsz", None), getattr(args, "max_det", None))
-    if tables.images is None and not getattr(args, "no_pixels", False):
-        tables.images = duplicates.shared_table(spark, images.probe(spark, tables.samples, args.root), "images") if tables.samples.where("image_path IS NOT NULL").limit(1).count() else None
+    probed = tables.images is not None and "hash" in tables.images.columns
+    if not probed and not getattr(args, "no_pixels", False) and tables.samples.where("image_path IS NOT NULL").limit(1).count():
+        tables.images = duplicates.shared_table(spark, images.probe(spark, tables.samples, args.root, tables.images), "images")
     tables.boxes = duplicates.shared_table(spark, tables.boxes, "boxes")
     return tables
 
@@ -47,6 +48,11 @@ def cmd_scan(spark, args) -> int:
     result = _sweep(spark, tables, args)
     render = {"json": lambda: reports.dumps(reports.scan_json(tables, result)), "sarif": lambda: reports.dumps(reports.sarif(tables, result)), "html": lambda: reports.html_report(result), "md": lambda: reports.markdown(result), "text": lambda: reports.text(result)}
     _emit(render[args.output](), args.out)
+    if args.out:
+        reports.write_items(result, args.out)
+    if args.fix_plan:
+        Path(args.fix_plan).write_text(reports.dumps(reports.fix_plan(tables, result)))
+        reports.write_items(result, args.fix_plan)
     return int(result.fails(args.fail_on))
 
 
@@ -69,6 +75,20 @@ def fixed_boxes(spark: SparkSession, tables: Tables, plan: dict) -> DataFrame:
     return apply.apply_steps(tables.boxes, plan["steps"], tables.images, tables.meta.task)
 
 
+def _targets(spark: SparkSession, plan_path: str, steps: list[dict]) -> DataFrame | None:
+    """(key) of all targets of some steps: those in the plan, and where it lists only the first, those in the table beside it."""
+    if not steps:
+        return None
+    cut = [s for s in steps if s.get("n_targets", len(s["targets"])) > len(s["targets"])]
+    keys = spark.createDataFrame([(k,) for s in steps for k in s["targets"]], "key string")
+    if not cut:
+        return keys.distinct()
+    if not Path(reports.items_path(plan_path)).exists():
+        raise ValueError(f"{plan_path} lists only the first targets of {', '.join(s['type'] for s in cut)}, and {reports.items_path(plan_path)} is missing")
+    whole = spark.read.parquet(reports.items_path(plan_path)).where(F.col("type").isin([s["type"] for s in cut]))
+    return keys.union(whole.select(F.col("item").alias("key"))).distinct()
+
+
 def cmd_apply(spark, args) -> int:
     """Write a mended copy; the source is never touched."""
     plan = json.loads(Path(args.plan).read_text())
@@ -80,10 +100,11 @@ def cmd_apply(spark, args) -> int:
         print("nothing was changed")
         return 0
     tables = _open(spark, args)
-    gone = {k for s in steps if s["action"] == "remove_corrupt_images" for k in s["targets"]} | {k for s in steps if s["action"] == "delete_orphan_labels" for k in s["targets"]}
-    samples = tables.samples.where(~F.col("key").isin(sorted(gone))) if gone else tables.samples
+    gone = _targets(spark, args.plan, [x for x in steps if x["action"] in ("remove_corrupt_images", "delete_orphan_labels")])
+    samples = tables.samples if gone is None else tables.samples.join(gone, "key", "left_anti")
     boxes = fixed_boxes(spark, tables, plan).join(samples.select("key"), "key", "left_semi")
-    n = datasets.write_yolo(Tables(tables.meta, samples, boxes), args.out)
+    stripped = _targets(spark, args.plan, [x for x in steps if x["action"] == "strip_exif_metadata"])
+    n = datasets.write_yolo(Tables(tables.meta, samples, boxes), args.out, images=True, stripped=stripped)
     print(f"{n} files in {args.out}")
     return 0
 
@@ -103,6 +124,8 @@ def cmd_card(spark, args) -> int:
     out = Path(args.out or args.root)
     out.mkdir(parents=True, exist_ok=True)
     (out / "health.json").write_text(reports.dumps(card))
+    if args.out:  # a folder of items within the dataset would change its fingerprint
+        reports.write_items(result, str(out / "health.json"))
     (out / "DATASET_HEALTH.md").write_text(reports.card_markdown(card))
     with (out / "manifest.tsv").open("w") as f:
         for r in m.orderBy("path").toLocalIterator():
@@ -124,18 +147,27 @@ def cmd_verify_card(spark, args) -> int:
 
 
 def cmd_recheck(spark, args) -> int:
-    """Compare with an earlier scan or card over the items it lists."""
+    """Compare with an earlier scan or card; the table beside it holds whole item lists.
+
+    Without that table a type whose list was cut can't be compared item by item:
+    what it has more of than before counts as introduced.
+    """
     before = json.loads(Path(args.before).read_text())
-    facts = [(f["type"], k) for f in [*before["findings"], *before.get("governance_findings", [])] for k in (f["items"] or [f["type"]])]
+    listed = [*before["findings"], *before.get("governance_findings", [])]
+    facts = spark.createDataFrame([(f["type"], k) for f in listed for k in (f["items"] or [f["type"]])], "type string, item string")
+    capped = {f["type"]: f["n_items"] for f in listed if f["n_items"] > len(f["items"]) > 0}
+    if capped and Path(reports.items_path(args.before)).exists():
+        facts, capped = spark.read.parquet(reports.items_path(args.before)), {}
     result = _sweep(spark, _open(spark, args), args)
-    capped = {f["type"] for f in [*before["findings"], *before.get("governance_findings", [])] if f["n_items"] > len(f["items"]) > 0}
-    now = result.hits.select("type", F.when(F.col("key") == "<dataset>", F.col("type")).otherwise(F.col("key")).alias("item")).distinct() if result.hits is not None else spark.createDataFrame([], "type string, item string")
-    status = findings.recheck(spark.createDataFrame(facts, "type string, item string"), now)
-    if capped:  # lists that were cut can't tell what is new
-        status = status.where(~((F.col("status") == "introduced") & F.col("type").isin(sorted(capped))))
-    n = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
-    print(json.dumps({k: n.get(k, 0) for k in ("resolved", "introduced", "remaining")}))
-    return int(n.get("introduced", 0) > 0)
+    now = result.items() if result.hits is not None else spark.createDataFrame([], "type string, item string")
+    status = findings.recheck(facts, now)
+    n = {(r["type"], r["status"]): r["n"] for r in status.groupBy("type", "status").agg(F.count("*").alias("n")).collect()}
+    for type_, was in capped.items():
+        is_ = n.get((type_, "introduced"), 0) + n.get((type_, "remaining"), 0)
+        n[type_, "introduced"], n[type_, "resolved"], n[type_, "remaining"] = max(is_ - was, 0), max(was - is_, 0), min(is_, was)
+    total = {k: sum(v for (_, status_), v in n.items() if status_ == k) for k in ("resolved", "introduced", "remaining")}
+    print(json.dumps(total | ({"counted_only": sorted(capped)} if capped else {})))
+    return int(total["introduced"] > 0)
 
 
 def _measures(spark, tables: Tables, result: SweepResult) -> DataFrame:
@@ -169,6 +201,10 @@ def cmd_resplit(spark, args) -> int:
     print(json.dumps({"schema": "vetframe/split-proposal/1", "counts": counts, "missing_in_val": [r["cls"] for r in resplit.missing_classes(members, tables.boxes, proposal).collect()], "leaks": leaks}))
     if args.out:
         placed.write.mode("overwrite").parquet(args.out)
+    if args.dataset:
+        fresh = duplicates.shared_table(spark, placed.select("key", F.col("split").alias("to")), "placed")
+        moved = lambda df: df.join(fresh, "key").withColumn("key", F.concat_ws("/", "to", F.regexp_replace("key", "/", "_"))).withColumn("split", F.col("to")).drop("to")
+        datasets.write_yolo(Tables(tables.meta, moved(tables.samples), moved(tables.boxes)), args.dataset, images=True)
     return int(leaks > 0)
 
 
@@ -199,7 +235,7 @@ def cmd_convert(spark, args) -> int:
     if args.parquet:
         datasets.write_parquet(tables, args.out)
     else:
-        print(f"{datasets.write_yolo(tables, args.out)} files in {args.out}")
+        print(f"{datasets.write_yolo(tables, args.out, images=True)} files in {args.out}")
     return 0
 
 
@@ -232,6 +268,7 @@ def parser() -> argparse.ArgumentParser:
         if name in ("scan", "audit"):
             s.add_argument("--output", choices=("text", "json", "sarif", "html", "md"), default="text")
             s.add_argument("--fail-on", choices=("critical", "major", "minor", "never"), default="critical")
+            s.add_argument("--fix-plan", help="write a plan for apply as well")
         if name == "recheck":
             s.add_argument("--before", required=True)
         if name == "diff":
@@ -245,6 +282,7 @@ def parser() -> argparse.ArgumentParser:
     s = add("resplit", cmd_resplit)
     s.add_argument("--fraction", type=float, default=0.2)
     s.add_argument("--out")
+    s.add_argument("--dataset", help="write the data in its new splits as well")
     s = add("merge", cmd_merge, root=False)
     s.add_argument("roots", nargs="+")
     s.add_argument("--out")

@@ -15,19 +15,15 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import bits as B
+from ..session import shared_folder
 
 DISTANCE = 5
 
 
 def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a table in the folder all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.gettempdir()}/vetframe-tables"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    base = shared_folder(spark)
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,10 +46,10 @@ def hash_links(hashes: DataFrame, distance: int = DISTANCE, bands: int | None =
     return a.join(b, ["band", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & ~earlier).select("a", "b", F.bit_count(differ).alias("d"))
 
 
-def hamming_pairs(images: DataFrame, distance: int = DISTANCE, bands: int | None = None) -> DataFrame:
+def hamming_pairs(images: DataFrame, distance: int = DISTANCE, bands: int | None = None, bits: int = 64) -> DataFrame:
     """(l, r, d) of image keys whose hashes lie within ``distance``; l < r, every pair listed."""
     keyed = images.where("hash IS NOT NULL").select("key", "hash")
-    links = hash_links(keyed, distance, bands)
+    links = hash_links(keyed, distance, bands, bits)
     left, right = keyed.select(F.col("key").alias("k1"), F.col("hash").alias("a")), keyed.select(F.col("key").alias("k2"), F.col("hash").alias("b"))
     near = links.join(left, "a").join(right, "b").select(F.least("k1", "k2").alias("l"), F.greatest("k1", "k2").alias("r"), "d")
     same = left.join(right, F.col("a") == F.col("b")).where("k1 < k2").select(F.col("k1").alias("l"), F.col("k2").alias("r"), F.lit(0).alias("d"))
@@ -72,42 +68,57 @@ def exact_groups(images: DataFrame, digest: str = "sha1") -> DataFrame:
     return images.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.count("*").alias("n"), F.min("key").alias("first_key")).where("n > 1")
 
 
-def _labelled(images: DataFrame, distance: int, bands: int | None) -> DataFrame:
+def _labelled(images: DataFrame, distance: int, bands: int | None, bits: int) -> DataFrame:
     """(key, split, hash, other): each image with every distinct hash near its own, itself included."""
-    links = hash_links(images, distance, bands).select("a", "b")
+    links = hash_links(images, distance, bands, bits).select("a", "b")
     both = links.union(links.select("b", "a"))
     return both
 
 
-def leakage(images: DataFrame, distance: int = DISTANCE, bands: int | None = None) -> DataFrame:
+def leakage(images: DataFrame, distance: int = DISTANCE, bands: int | None = None, bits: int = 64) -> DataFrame:
     """(key) of val images that have a near copy in train; split names are compared as they are written.
 
     Hashes are reduced to one row a role first, so copies never multiply.
     """
     role = F.when(F.col("split").isin(*vocab.TRAIN_NAMES), "train").when(F.col("split").isin(*vocab.VAL_NAMES), "val")
     seen = images.where("hash IS NOT NULL").withColumn("role", role)
-    near = _labelled(images, distance, bands)
+    near = _labelled(images, distance, bands, bits)
     trained = seen.where("role = 'train'").select("hash").distinct()
     reach = near.join(trained, F.col("a") == F.col("hash"), "left_semi").select(F.col("b").alias("hash")).union(trained).distinct()
     return seen.where("role = 'val'").join(reach, "hash", "left_semi").select("key")
 
 
-def near_within_split(images: DataFrame, distance: int = DISTANCE, bands: int | None = None) -> DataFrame:
+def leaking_pairs(images: DataFrame, distance: int = DISTANCE, bands: int | None = None, bits: int = 64) -> DataFrame:
+    """(key, train_key, d): each leaked val image with its nearest train image, the first of equals.
+
+    One train image stands for all that share its hash, so copies never multiply.
+    """
+    role = F.when(F.col("split").isin(*vocab.TRAIN_NAMES), "train").when(F.col("split").isin(*vocab.VAL_NAMES), "val")
+    seen = images.where("hash IS NOT NULL").withColumn("role", role)
+    trained = seen.where("role = 'train'").groupBy("hash").agg(F.min("key").alias("train_key"))
+    links = hash_links(images, distance, bands, bits)
+    both = links.union(links.select("b", "a", "d"))
+    near = both.join(trained.withColumnRenamed("hash", "a"), "a").select(F.col("b").alias("hash"), "train_key", "d").union(trained.select("hash", "train_key", F.lit(0).alias("d")))
+    nearest = near.groupBy("hash").agg(F.min(F.struct("d", "train_key")).alias("n")).select("hash", "n.train_key", "n.d")
+    return seen.where("role = 'val'").join(nearest, "hash").select("key", "train_key", "d")
+
+
+def near_within_split(images: DataFrame, distance: int = DISTANCE, bands: int | None = None, bits: int = 64) -> DataFrame:
     """(key, split) of images that have a near copy in their own split."""
     seen = images.where("hash IS NOT NULL")
     per = seen.groupBy("split", "hash").agg(F.count("*").alias("n"))
-    near = _labelled(images, distance, bands)
+    near = _labelled(images, distance, bands, bits)
     other = per.select(F.col("split").alias("s2"), F.col("hash").alias("b"))
     linked = near.join(per.select("split", F.col("hash").alias("a")), "a").join(other, "b").where("split = s2").select("split", F.col("a").alias("hash"))
     hit = linked.union(per.where("n > 1").select("split", "hash")).distinct()
     return seen.join(hit, ["split", "hash"], "left_semi").select("key", "split")
 
 
-def across_sources(images: DataFrame, distance: int = DISTANCE, bands: int | None = None) -> DataFrame:
+def across_sources(images: DataFrame, distance: int = DISTANCE, bands: int | None = None, bits: int = 64) -> DataFrame:
     """(key, source, identical) of images with a near copy in another source; identical if a copy is exact."""
     seen = images.where("hash IS NOT NULL")
     per = seen.select("source", "hash").distinct()
-    links = _labelled(images, distance, bands)
+    links = _labelled(images, distance, bands, bits)
     same = per.select(F.col("hash").alias("a"), F.col("hash").alias("b")).distinct()
     near = links.union(same)
     joined = near.join(per.select("source", F.col("hash").alias("a")), "a").join(per.select(F.col("source").alias("s2"), F.col("hash").alias("b")), "b").where("source <> s2")
@@ -115,12 +126,12 @@ def across_sources(images: DataFrame, distance: int = DISTANCE, bands: int | Non
     return seen.join(hit, ["source", "hash"]).select("key", "source", "identical")
 
 
-def components(spark: SparkSession, images: DataFrame, distance: int = DISTANCE, bands: int | None = None) -> DataFrame:
+def components(spark: SparkSession, images: DataFrame, distance: int = DISTANCE, bands: int | None = None, bits: int = 64) -> DataFrame:
     """(key, group_key): near-duplicate groups over all splits; images without a hash are alone.
 
     Labels fall along links of distinct hashes, then jump; each round is a table in the shared folder.
     """
-    both = shared_table(spark, _labelled(images, distance, bands), "links")
+    both = shared_table(spark, _labelled(images, distance, bands, bits), "links")
     labels = shared_table(spark, both.groupBy(F.col("a").alias("hash")).agg(F.min("b").alias("m")).select("hash", F.least("hash", "m").alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("hash")).groupBy(F.col("a").alias("hash")).agg(F.min("label").alias("near"))

@@ -30,7 +30,7 @@ def name_variants(taxonomies: DataFrame) -> DataFrame:
 
 def remap(taxonomies: DataFrame) -> DataFrame:
     """(source, cls, new_id)."""
-    return taxonomies.join(F.broadcast(merged_taxonomy(taxonomies)), "name").select("source", "cls", "new_id")
+    return taxonomies.join(merged_taxonomy(taxonomies), "name").select("source", "cls", "new_id")
 
 
 def filename_collisions(samples: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def filename_collisions(samples: DataFrame) -> DataFrame:
 
 def merge_boxes(boxes: DataFrame, taxonomies: DataFrame, collisions: DataFrame) -> DataFrame:
     """Boxes (source, stem, cls, ...) with merged class ids; a stem that collides is prefixed by its source."""
-    mapped = boxes.join(F.broadcast(remap(taxonomies)), ["source", "cls"]).drop("cls").withColumnRenamed("new_id", "cls")
+    mapped = boxes.join(remap(taxonomies), ["source", "cls"]).drop("cls").withColumnRenamed("new_id", "cls")
     marked = mapped.join(collisions.select("stem", F.lit(True).alias("collides")), "stem", "left")
     stem = F.when(F.col("collides"), F.concat(F.lit("s"), F.col("source").cast("string"), F.lit("_"), F.col("stem"))).otherwise(F.col("stem"))
     return marked.withColumn("stem", stem).drop("collides")

@@ -81,7 +81,7 @@ def duplicate_scan(t: Tables) -> DataFrame | None:
     if t.images is None or "hash" not in t.images.columns:
         return None
     hashed = t.images.select("key", F.regexp_extract("key", "^([^/]*)/", 1).alias("split"), "hash")
-    leaked = duplicates.leakage(hashed).select(F.lit("train_val_leakage").alias("type"), "key")
+    leaked = duplicates.leaking_pairs(hashed).select(F.lit("train_val_leakage").alias("type"), "key", F.format_string("as %s, %d bits apart", "train_key", "d").alias("note"))
     near = duplicates.near_within_split(hashed).select(F.lit("near_duplicate_image").alias("type"), "key")
     return hits(leaked, near)
 

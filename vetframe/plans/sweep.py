@@ -22,6 +22,7 @@ from ..operators.duplicates import shared_table
 from . import detectors  # noqa: F401  registers the built-in ones
 from .registry import Detector, available, resolve_groups
 
+#: Items that a report shows of each type; ``SweepResult.items`` has them all.
 ITEMS_CAP = 200
 
 
@@ -53,6 +54,15 @@ class SweepResult:
     failed: dict[str, str]
     groups: tuple[str, ...]
     seconds: float
+    #: Detectors that had nothing to read, as the tables they need are missing.
+    skipped: list[str] = field(default_factory=list)
+
+    def items(self, type_: str | None = None) -> DataFrame | None:
+        """(type, item) of every item, or of those of one type; a dataset-level finding is its own item."""
+        if self.hits is None:
+            return None
+        some = self.hits if type_ is None else self.hits.where(F.col("type") == type_)
+        return some.select("type", F.when(F.col("key") == detectors.DATASET, F.col("type")).otherwise(F.col("key")).alias("item")).distinct()
 
     def counts(self) -> dict[str, int]:
         """Trainability findings by severity."""
@@ -78,18 +88,20 @@ def _plan(d: Detector, tables: Tables) -> DataFrame | None:
     return None if found is None else found.withColumn("detector", F.lit(d.name))
 
 
-def _materialised(spark: SparkSession, chosen: list[Detector], tables: Tables) -> tuple[DataFrame | None, dict[str, str]]:
-    plans, failed = {}, {}
+def _materialised(spark: SparkSession, chosen: list[Detector], tables: Tables) -> tuple[DataFrame | None, dict[str, str], list[str]]:
+    plans, failed, skipped = {}, {}, []
     for d in chosen:
         try:
             if (p := _plan(d, tables)) is not None:
                 plans[d.name] = p
+            else:
+                skipped.append(d.name)
         except Exception as e:  # a detector may fail in any way, and the others still count
             failed[d.name] = f"{type(e).__name__}: {e}"
     if not plans:
-        return None, failed
+        return None, failed, skipped
     try:
-        return shared_table(spark, reduce(DataFrame.unionByName, plans.values()), "hits"), failed
+        return shared_table(spark, reduce(DataFrame.unionByName, plans.values()), "hits"), failed, skipped
     except Exception:
         done = []
         for name, p in plans.items():
@@ -97,7 +109,7 @@ def _materialised(spark: SparkSession, chosen: list[Detector], tables: Tables) -
                 done.append(shared_table(spark, p, "hits"))
             except Exception as e:
                 failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
-        return (reduce(DataFrame.unionByName, done) if done else None), failed
+        return (reduce(DataFrame.unionByName, done) if done else None), failed, skipped
 
 
 def collect(spark: SparkSession, hits: DataFrame, cap: int = 12) -> list[Finding]:
@@ -129,6 +141,7 @@ def collect(spark: SparkSession, hits: DataFrame, cap: int = 12) -> list[Finding
 def sweep(spark: SparkSession, tables: Tables, groups: Iterable[str] | str | None = None, experimental: bool = False, pixels: bool = True) -> SweepResult:
     began = time.time()
     chosen = [d for d in available(groups, experimental, pixels) if not d.informational]
-    hits, failed = _materialised(spark, chosen, tables)
+    hits, failed, skipped = _materialised(spark, chosen, tables)
     found = collect(spark, hits) if hits is not None else []
-    return SweepResult(hits, found, [d.name for d in chosen if d.name not in failed], failed, resolve_groups(groups), time.time() - began)
+    ran = [d.name for d in chosen if d.name not in failed and d.name not in skipped]
+    return SweepResult(hits, found, ran, failed, resolve_groups(groups), time.time() - began, skipped)

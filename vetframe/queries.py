@@ -195,31 +195,31 @@ def class_distribution(spark, sf):
     return classes.distribution(A.boxes(spark, sf), _taxonomy(spark))
 
 
-@query(f"""WITH {BOXES}, per AS (SELECT cls, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val FROM boxes WHERE NOT (cls = 6 AND split = 'train' AND okey % 50 <> 1) GROUP BY cls), b AS (SELECT max(n_train) AS busiest FROM per),
+@query(f"""WITH {BOXES}, per AS (SELECT cls, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val FROM (SELECT CASE WHEN cls = 6 AND split = 'train' AND okey % 50 <> 1 THEN 0 ELSE cls END AS cls, split FROM boxes) GROUP BY cls), b AS (SELECT max(n_train) AS busiest FROM per),
            g AS (SELECT range::INT AS cls, coalesce(n_train, 0) AS n_train, coalesce(n_val, 0) AS n_val, busiest FROM range(9) LEFT JOIN per ON per.cls = range CROSS JOIN b)
            SELECT cls, n_train, n_val, n_train = 0 AS absent, n_train < 10 AS few, n_train > 0 AND busiest / greatest(n_train, 1) >= 50 AS rare, n_val < 3 AS unmeasured FROM g
            WHERE n_train < 10 OR busiest / greatest(n_train, 1) >= 50 OR n_val < 3""")
 def class_imbalance(spark, sf):
-    boxes = A.boxes(spark, sf).where("NOT (cls = 6 AND split = 'train' AND okey % 50 <> 1)")
+    boxes = A.boxes(spark, sf).withColumn("cls", F.expr("CASE WHEN cls = 6 AND split = 'train' AND okey % 50 <> 1 THEN 0 ELSE cls END"))
     return classes.imbalance(boxes, 9)
 
 
-@query(f"WITH {BOXES} SELECT cls, count(*) FILTER (split = 'train') AS n_train FROM boxes WHERE NOT (cls IN (3, 5) AND split = 'val') GROUP BY cls HAVING count(*) FILTER (split = 'train') > 0 AND count(*) FILTER (split = 'val') = 0")
+@query(f"WITH {BOXES} SELECT cls, count(*) FILTER (split = 'train') AS n_train FROM (SELECT cls, CASE WHEN cls IN (3, 5) THEN 'train' ELSE split END AS split FROM boxes) GROUP BY cls HAVING count(*) FILTER (split = 'train') > 0 AND count(*) FILTER (split = 'val') = 0")
 def class_absent_val(spark, sf):
-    return classes.absent_from_val(A.boxes(spark, sf).where("NOT (cls IN (3, 5) AND split = 'val')"))
+    return classes.absent_from_val(A.boxes(spark, sf).withColumn("split", F.when(F.col("cls").isin(3, 5), "train").otherwise(F.col("split"))))
 
 
-@query(f"WITH {SAMPLES}, n AS (SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val FROM samples WHERE has_image AND (split = 'train' OR okey % 100 = 0)) SELECT * FROM n WHERE n_train + n_val >= 20 AND (n_val = 0 OR n_val / (n_train + n_val) < 0.05 OR n_val / (n_train + n_val) > 0.5)")
+@query(f"WITH {SAMPLES}, n AS (SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val FROM (SELECT has_image, CASE WHEN okey % 100 = 0 THEN 'val' ELSE 'train' END AS split FROM samples) WHERE has_image) SELECT * FROM n WHERE n_train + n_val >= 20 AND (n_val = 0 OR n_val / (n_train + n_val) < 0.05 OR n_val / (n_train + n_val) > 0.5)")
 def split_ratio(spark, sf):
-    return classes.split_ratio(A.samples(spark, sf).where("split = 'train' OR okey % 100 = 0"))
+    return classes.split_ratio(A.samples(spark, sf).withColumn("split", F.when(F.col("okey") % 100 == 0, "val").otherwise("train")))
 
 
-@query(f"""WITH {BOXES}, {SAMPLES}, {IMAGES}, bx AS (SELECT * FROM boxes WHERE cls <> 2 OR okey % 4 = 0), sized AS (SELECT key, width || 'x' || height AS bucket FROM images WHERE key IN (SELECT key FROM bx)),
+@query(f"""WITH {BOXES}, {SAMPLES}, {IMAGES}, bx AS (SELECT key, CASE WHEN cls = 2 AND okey % 4 <> 0 THEN 1 ELSE cls END AS cls FROM boxes), sized AS (SELECT key, width || 'x' || height AS bucket FROM images WHERE key IN (SELECT key FROM bx)),
            base AS (SELECT bucket, count(*) AS images FROM sized GROUP BY 1), per AS (SELECT cls, bucket, count(*) AS in_bucket FROM bx JOIN sized USING (key) GROUP BY 1, 2),
            best AS (SELECT cls, sum(in_bucket)::BIGINT AS n, max(in_bucket) AS in_bucket, arg_max(bucket, in_bucket) AS bucket FROM per GROUP BY cls)
            SELECT cls, bucket, n, in_bucket FROM best JOIN base USING (bucket) WHERE n >= 20 AND in_bucket / n >= 0.9 AND images / (SELECT sum(images) FROM base) <= 0.6 AND (SELECT count(*) >= 2 AND sum(images) >= 20 FROM base)""")
 def representation_skew(spark, sf):
-    boxes = A.boxes(spark, sf).where("cls <> 2 OR okey % 4 = 0")
+    boxes = A.boxes(spark, sf).withColumn("cls", F.expr("CASE WHEN cls = 2 AND okey % 4 <> 0 THEN 1 ELSE cls END"))
     return classes.representation_skew(boxes, A.images(spark, sf))
 
 
@@ -252,22 +252,22 @@ def exact_duplicates(spark, sf):
 
 @query(f"WITH {HASHES}, u AS (SELECT DISTINCT hash FROM hashes WHERE hash IS NOT NULL) SELECT a.hash AS a, b.hash AS b, bit_count(xor(a.hash, b.hash))::INT AS d FROM u a JOIN u b ON a.hash < b.hash AND {NEAR}")
 def hamming_links(spark, sf):
-    return duplicates.hash_links(A.text_hashes(spark, sf).select("hash"))
+    return duplicates.hash_links(A.text_hashes(spark, sf).select("hash"), bits=60)
 
 
 @query(f"WITH {HASHES} SELECT DISTINCT b.key FROM hashes a JOIN hashes b ON a.split = 'train' AND b.split = 'val' AND {NEAR}")
 def leakage(spark, sf):
-    return duplicates.leakage(A.text_hashes(spark, sf))
+    return duplicates.leakage(A.text_hashes(spark, sf), bits=60)
 
 
 @query(f"WITH {HASHES} SELECT DISTINCT b.key, b.split FROM hashes a JOIN hashes b ON a.split = b.split AND a.doc_id <> b.doc_id AND {NEAR}")
 def near_duplicates(spark, sf):
-    return duplicates.near_within_split(A.text_hashes(spark, sf))
+    return duplicates.near_within_split(A.text_hashes(spark, sf), bits=60)
 
 
 @query(f"WITH {HASHES} SELECT b.key, b.source, max(CASE WHEN a.hash = b.hash THEN 1 ELSE 0 END) = 1 AS identical FROM hashes a JOIN hashes b ON a.source <> b.source AND {NEAR} GROUP BY 1, 2")
 def cross_source_duplicates(spark, sf):
-    return duplicates.across_sources(A.text_hashes(spark, sf))
+    return duplicates.across_sources(A.text_hashes(spark, sf), bits=60)
 
 
 @query(f"""WITH RECURSIVE {HASHES.strip()}, u AS (SELECT DISTINCT hash FROM hashes WHERE hash IS NOT NULL), e AS (SELECT a.hash AS a, b.hash AS b FROM u a JOIN u b ON {NEAR}),
@@ -275,7 +275,7 @@ def cross_source_duplicates(spark, sf):
            k AS (SELECT reach.a AS hash, min(h.key) AS group_key FROM reach JOIN hashes h ON h.hash = reach.b GROUP BY 1)
            SELECT key, coalesce(group_key, key) AS group_key FROM hashes LEFT JOIN k USING (hash)""")
 def duplicate_components(spark, sf):
-    return duplicates.components(spark, A.text_hashes(spark, sf))
+    return duplicates.components(spark, A.text_hashes(spark, sf), bits=60)
 
 
 @query(f"""WITH RECURSIVE {HASHES.strip()}, u AS (SELECT DISTINCT hash FROM hashes WHERE hash IS NOT NULL), e AS (SELECT a.hash AS a, b.hash AS b FROM u a JOIN u b ON {NEAR}),
@@ -285,16 +285,28 @@ def duplicate_components(spark, sf):
            SELECT group_key, count(*) AS size, coalesce(list_sort(list(DISTINCT toxic) FILTER (toxic IS NOT NULL))::VARCHAR, '[]') AS classes FROM g LEFT JOIN labels USING (doc_id) GROUP BY 1""")
 def resplit_groups(spark, sf):
     h = A.text_hashes(spark, sf)
-    members = duplicates.components(spark, h)
+    members = duplicates.components(spark, h, bits=60)
     boxes = h.join(A.table(spark, sf, "labels"), "doc_id").select("key", F.col("toxic").alias("cls"))
     g = resplit.groups(members, boxes)
     return g.select("group_key", "size", F.concat(F.lit("["), F.array_join("classes", ", "), F.lit("]")).alias("classes"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {HASHES.strip()}, u AS (SELECT DISTINCT hash FROM hashes WHERE hash IS NOT NULL), e AS (SELECT a.hash AS a, b.hash AS b FROM u a JOIN u b ON {NEAR}),
+           reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+           k AS (SELECT reach.a AS hash, min(h.key) AS group_key FROM reach JOIN hashes h ON h.hash = reach.b GROUP BY 1),
+           g AS (SELECT h.doc_id, coalesce(group_key, h.key) AS group_key FROM hashes h LEFT JOIN k USING (hash)),
+           s AS (SELECT group_key, count(*) AS size, list(DISTINCT toxic) FILTER (toxic IS NOT NULL) AS classes FROM g LEFT JOIN labels USING (doc_id) GROUP BY 1),
+           o AS (SELECT *, row_number() OVER (ORDER BY size DESC, group_key) AS i, round_even(sum(size) OVER () * 0.2, 0)::BIGINT AS target FROM s),
+           t AS (SELECT 0::BIGINT AS i, 0::BIGINT AS held, []::BIGINT[] AS seen, NULL::VARCHAR AS group_key, false AS took
+                 UNION ALL
+                 SELECT i, CASE WHEN yes THEN held + size ELSE held END, CASE WHEN yes THEN list_concat(seen, coalesce(classes, [])) ELSE seen END, group_key, yes
+                 FROM (SELECT o.i, held, seen, o.group_key, size, classes,
+                              held + size <= target OR (len(list_filter(coalesce(classes, []), lambda x: NOT list_contains(seen, x))) > 0 AND held + size < 1.5 * target) AS yes
+                       FROM t JOIN o ON o.i = t.i + 1))
+           SELECT group_key, CASE WHEN took THEN 'val' ELSE 'train' END AS split FROM t WHERE i > 0""")
 def resplit_proposal(spark, sf):
     h = A.text_hashes(spark, sf)
-    members = duplicates.components(spark, h)
+    members = duplicates.components(spark, h, bits=60)
     boxes = h.join(A.table(spark, sf, "labels"), "doc_id").select("key", F.col("toxic").alias("cls"))
     return resplit.propose(spark, resplit.groups(members, boxes))
 
@@ -467,13 +479,9 @@ def manifest_diff(spark, sf):
     return manifest.difference(m.where("doc_id % 10 <> 1"), after)
 
 
-@query(f"WITH {MANIFEST} SELECT substr(sha256(path), 1, 2) AS bucket, count(*) AS n, sha256(string_agg(path || chr(9) || sha1 || chr(10), '' ORDER BY path)) AS digest FROM man GROUP BY 1")
+@query(f"WITH {MANIFEST} SELECT substr(sha256(path), 1, 3) AS bucket, count(*) AS n, sha256(string_agg(path || chr(0) || sha1 || chr(10), '' ORDER BY path)) AS digest FROM man GROUP BY 1")
 def bucket_digests(spark, sf):
-    m = _manifest(spark, sf)
-    bucket = F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 2)
-    lines = m.select(bucket.alias("bucket"), F.struct("path", F.concat("path", F.lit("\t"), "sha1", F.lit("\n")).alias("x")).alias("s"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]), "")
-    return lines.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(joined.cast("binary"), 256).alias("digest"))
+    return manifest.bucket_digests(_manifest(spark, sf))
 
 
 @query(f"WITH {MANIFEST} SELECT count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM man")
@@ -481,7 +489,7 @@ def manifest_totals(spark, sf):
     return manifest.totals(_manifest(spark, sf))
 
 
-@query()
+@query(f"WITH {MANIFEST} SELECT sha256(string_agg(path || chr(0) || sha1 || chr(10), '' ORDER BY path)) AS digest FROM man")
 def dataset_digest(spark, sf):
     return spark.createDataFrame([(manifest.digest(_manifest(spark, sf)),)], "digest string")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Tables
+from ..sources.files import plain_path
 
 
 def yolo_row(shapes: bool = False) -> Column:
@@ -47,11 +49,52 @@ def write_files(files: DataFrame, root: str) -> int:
     return n
 
 
-def write_yolo(tables: Tables, root: str) -> int:
-    """Labels and the description file.  At scale use ``write_parquet``: one small file an image suits no cluster."""
+def copy_images(samples: DataFrame, root: str, stripped: DataFrame | None = None) -> int:
+    """Copy the images of ``samples`` to ``root``/images/<key>, each by the task that has its row; how many there were.
+
+    Images with a key in ``stripped`` (key) lose their Exif segments.  A task that
+    runs again writes the same files again.
+    """
+    from ..functions import imagebytes
+
+    rows = samples.where("image_path IS NOT NULL").select("key", "image_path")
+    marked = rows.withColumn("strip", F.lit(False)) if stripped is None else rows.join(stripped.select("key", F.lit(True).alias("strip")).distinct(), "key", "left")
+    base = plain_path(root).rstrip("/")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for f in frames:
+            n = 0
+            for r in f.itertuples():
+                source, at = fs.FileSystem.from_uri(r.image_path)
+                info = source.get_file_info(at)
+                if info.type != fs.FileType.File:
+                    continue
+                with source.open_input_stream(at) as stream:
+                    data = stream.read()
+                name = r.image_path.rsplit("/", 1)[-1]
+                suffix = name.rsplit(".", 1)[-1] if "." in name else "jpg"
+                target, to = fs.FileSystem.from_uri(f"{base}/images/{r.key}.{suffix}")
+                target.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                with target.open_output_stream(to) as stream:
+                    stream.write(imagebytes.strip_exif(data) if r.strip is True and data[:2] == b"\xff\xd8" else data)
+                n += 1
+            yield pd.DataFrame({"n": [n]})
+
+    return marked.mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_yolo(tables: Tables, root: str, images: bool = False, stripped: DataFrame | None = None) -> int:
+    """Labels and the description file, and the images where asked for; the number of label and description files.
+
+    At scale use ``write_parquet``: one small file an image suits no cluster.
+    """
     import yaml
 
     spark = tables.boxes.sparkSession
+    if images:
+        copy_images(tables.samples, root, stripped)
     labels = label_texts(tables.boxes, tables.samples).select(F.concat(F.lit("labels/"), "key", F.lit(".txt")).alias("path"), "content")
     about = yaml.safe_dump({"names": list(tables.meta.names), "nc": tables.meta.nc, "task": tables.meta.task}, sort_keys=False)
     return write_files(labels.unionByName(spark.createDataFrame([("data.yaml", about)], "path string, content string")), root)
@@ -71,8 +114,6 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 def strip_exif(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """(path, content) of JPEG files without their Exif segments; tasks rewrite the bytes."""
-    import pandas as pd
-
     from ..functions import imagebytes
 
     def run(frames):

@@ -28,7 +28,7 @@ def finding_dict(f: Finding, items: int = CARD_ITEMS) -> dict:
 def scan_json(tables: Tables, result: SweepResult) -> dict:
     return {
         "schema": "vetframe/scan/1", "generated": _now(), "dataset": {"root": tables.meta.root, "task": tables.meta.task, "classes": tables.meta.names},
-        "checks": {"ran": result.ran, "failed": result.failed, "groups": list(result.groups), "seconds": round(result.seconds, 3)},
+        "checks": {"ran": result.ran, "failed": result.failed, "skipped": result.skipped, "groups": list(result.groups), "seconds": round(result.seconds, 3)},
         "verdict": result.verdict(), "summary": result.counts(), "findings": [finding_dict(f) for f in result.found],
     }
 
@@ -80,13 +80,25 @@ def markdown(result: SweepResult, suppressed: list[tuple[Finding, str]] = ()) ->
 
 
 def fix_plan(tables: Tables, result: SweepResult, suppressed: set[str] = frozenset()) -> dict:
+    """Steps with the first targets of each; where there are more, ``write_items`` beside the plan lists them all."""
     steps = [
-        {"finding_id": f.id, "type": f.type, "severity": f.severity, "action": f.fix.get("action", "review"), "targets": f.items, "detail": f.title, "requires_human_review": f.type in vocab.NEEDS_HUMAN or not f.fix}
+        {"finding_id": f.id, "type": f.type, "severity": f.severity, "action": f.fix.get("action", "review"), "targets": f.items, "n_targets": f.n_items, "detail": f.title, "requires_human_review": f.type in vocab.NEEDS_HUMAN or not f.fix}
         for f in result.found if f.id not in suppressed
     ]
     return {"schema": "vetframe/fix-plan/1", "dataset": tables.meta.root, "verdict": result.verdict(), "generated": _now(), "approved": False, "steps": steps}
 
 
+def items_path(report: str) -> str:
+    """Where the whole item list of a report lies: a Parquet table beside it."""
+    return f"{report}.items"
+
+
+def write_items(result: SweepResult, report: str) -> None:
+    """Every (type, item) of a sweep, beside the report that shows the first of them."""
+    if (items := result.items()) is not None:
+        items.write.mode("overwrite").parquet(items_path(report))
+
+
 def plan_summary(plan: dict) -> str:
     return "\n".join(f"{'manual' if s['requires_human_review'] or s['action'] not in vocab.AUTOMATABLE else 'auto  '} {s['action']}: {s['detail']}" for s in plan["steps"])
 
@@ -96,7 +108,7 @@ def card(tables: Tables, result: SweepResult, digest: str, totals: dict, classes
     parts = {c: [finding_dict(f) for f in result.found if f.category == c] for c in ("trainability", "governance")}
     return {
         "schema": "vetframe/health/1", "generated": _now(), "dataset": {"root": tables.meta.root, "task": tables.meta.task, "class_boxes": dict(classes)},
-        "fingerprint": {"sha256": digest, **totals}, "checks": {"ran": result.ran, "failed": result.failed, "groups": list(result.groups)},
+        "fingerprint": {"sha256": digest, **totals}, "checks": {"ran": result.ran, "failed": result.failed, "skipped": result.skipped, "groups": list(result.groups)},
         "verdict": result.verdict(), "summary": result.counts(), "findings": parts["trainability"], "governance_findings": parts["governance"],
     }
 

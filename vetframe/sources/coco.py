@@ -39,6 +39,20 @@ def class_map(categories: DataFrame, used: DataFrame) -> DataFrame:
     return ids.select("category_id", (F.row_number().over(Window.orderBy("declared", "category_id")) - 1).cast("int").alias("cls"))
 
 
+def picture_paths(spark: SparkSession, root: str, images: DataFrame) -> DataFrame:
+    """(key, image_path) of the image files: where the entry says, else by their name, in a folder of the split first.
+
+    Where no image file is there at all, the data is annotations alone and the entry's own words stand.
+    """
+    pictures = [(p, n) for p, n in files.list_files(spark, root) if p.rsplit(".", 1)[-1].lower() in files.IMAGE_SUFFIXES]
+    if not pictures:
+        return images.select("key", F.col("file_name").alias("image_path"))
+    there = files.file_table(spark, pictures).select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("file"))
+    both = images.select("key", "split", "file", "file_name").join(there, "file")
+    apart = F.struct((~F.col("path").endswith(F.concat(F.lit("/"), "split", F.lit("/"), "file_name"))).alias("a"), (~F.col("path").contains(F.concat(F.lit("/"), "split", F.lit("/")))).alias("b"), (~F.col("path").endswith(F.concat(F.lit("/"), "file_name"))).alias("c"), "path")
+    return both.groupBy("key").agg(F.min_by("path", apart).alias("image_path"))
+
+
 def read(spark: SparkSession, root: str) -> model.Tables:
     """Images, boxes and names; annotations of unknown images and boxes without four numbers are dropped."""
     found = [(split, files.visible(spark, p)) for split, p in discover(spark, root)]
@@ -47,9 +61,9 @@ def read(spark: SparkSession, root: str) -> model.Tables:
     images = docs.select("split", F.inline("images")).withColumn("file", F.regexp_extract("file_name", "([^/]*)$", 1))
     images = images.withColumns({"stem": files.stem(F.col("file"))}).withColumn("key", F.concat_ws("/", "split", "stem"))
     notes = docs.select("split", F.inline("annotations")).withColumnRenamed("id", "annotation_id")
-    cats = docs.select(F.inline("categories")).groupBy("id").agg(F.first("name").alias("name"))
+    cats = docs.select("path", F.inline("categories")).groupBy("id").agg(F.min_by("name", F.struct("path", "name")).alias("name"))
     mapped = class_map(cats, notes)
-    boxes = notes.where("size(bbox) = 4").join(images.select("split", F.col("id").alias("image_id"), "key", "stem", "width", "height"), ["split", "image_id"]).join(F.broadcast(mapped), "category_id")
+    boxes = notes.where("size(bbox) = 4").join(images.select("split", F.col("id").alias("image_id"), "key", "stem", "width", "height"), ["split", "image_id"]).join(mapped, "category_id")
     x, y, w, h = (F.get("bbox", i) for i in range(4))
     wide, high = F.col("width").cast("double"), F.col("height").cast("double")
     sized = (wide > 0) & (high > 0)
@@ -59,7 +73,7 @@ def read(spark: SparkSession, root: str) -> model.Tables:
     line = F.row_number().over(Window.partitionBy("key").orderBy("annotation_id", "category_id"))
     boxes = boxes.select("key", "split", "stem", line.alias("line_no"), "cls", *values, F.to_json("bbox").alias("raw"), F.lit(None).cast(model.POLYGON).alias("polygon"), F.lit(None).cast(model.KEYPOINTS).alias("keypoints"))
     n = boxes.groupBy("key").agg(F.count("*").cast("int").alias("n"))
-    samples = images.join(n, "key", "left").select("split", "stem", "key", F.col("file_name").alias("image_path"), F.lit(None).cast("string").alias("label_path"), F.lit(True).alias("label_exists"), F.coalesce("n", F.lit(0)).alias("n_boxes"), F.lit(0).alias("n_parse_errors"))
+    samples = images.join(n, "key", "left").join(picture_paths(spark, root, images), "key", "left").select("split", "stem", "key", "image_path", F.lit(None).cast("string").alias("label_path"), F.lit(True).alias("label_exists"), F.coalesce("n", F.lit(0)).alias("n_boxes"), F.lit(0).alias("n_parse_errors"))
     taxonomy = mapped.join(cats, mapped["category_id"] == cats["id"]).select("cls", "name")
     names = [r["name"] for r in taxonomy.orderBy("cls").collect()]
     errors = spark.createDataFrame([], model.PARSE_ERRORS)

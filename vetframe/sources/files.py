@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 FILES = "path string, size bigint"
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
 
@@ -47,12 +48,9 @@ def visible(spark: SparkSession, path: str) -> str:
     name = path.rsplit("/", 1)[-1]
     if name[0] not in "_.":
         return path
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/vetframe-tables"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = shared_folder(spark)
     jvm = spark._jvm
-    (fs, p), (to_fs, to) = _fs(spark, path), _fs(spark, f"{base.rstrip('/')}/copies/{uuid.uuid4().hex}/{name.lstrip('_.')}")
+    (fs, p), (to_fs, to) = _fs(spark, path), _fs(spark, f"{base}/copies/{uuid.uuid4().hex}/{name.lstrip('_.')}")
     jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to_fs, to, False, spark._jsc.hadoopConfiguration())
     return plain_path(to_fs.makeQualified(to).toString())
 

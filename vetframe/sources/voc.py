@@ -56,7 +56,7 @@ def read(spark: SparkSession, root: str) -> model.Tables:
     sized = (F.col("wide") > 0) & (F.col("high") > 0)
     x1, x2, y1, y2 = (F.when(sized, G.snap(F.col(c), F.col(e)) / F.col(e)).otherwise(F.col(c)) for c, e in (("xmin", "wide"), ("xmax", "wide"), ("ymin", "high"), ("ymax", "high")))
     line = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
-    boxes = named.join(F.broadcast(mapped), "name").select(
+    boxes = named.join(mapped, "name").select(
         "key", "split", "stem", line.alias("line_no"), "cls", ((x1 + x2) / 2).alias("xc"), ((y1 + y2) / 2).alias("yc"), (x2 - x1).alias("w"), (y2 - y1).alias("h"), "name",
         F.lit(None).cast(model.POLYGON).alias("polygon"), F.lit(None).cast(model.KEYPOINTS).alias("keypoints"),
     ).withColumnRenamed("name", "raw")
