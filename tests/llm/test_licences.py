@@ -69,3 +69,42 @@ def test_wrapped_headers(text, licenses, mark):
 )
 def test_subjects_and_wraps(text, licenses):
     assert licences.scan_text(text)[2:] == (licenses, 0)
+
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at some place.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to use it.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice appears.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+@pytest.mark.parametrize(("text", "licenses"), [(MPL, ["MPL-2.0"]), (UNLICENSE, ["Unlicense"]), (ISC, ["ISC"])])
+def test_more_headers(text, licenses, mark):
+    assert licences.scan_text("".join(f"{mark}{line}\n" for line in text.splitlines()))[2] == licenses
+
+
+@pytest.mark.parametrize("text", ["\u00a9 2020 Foo Corp", "(c) 2020 Foo"])
+def test_marks_alone_are_cues(text):
+    assert licences.scan_text(text)[1] == ["copyright"]
+
+
+def test_cues_over_odd_white_space():
+    assert licences.scan_text("This work is in the public\tdomain.")[2] == ["public-domain"]
+
+
+def test_query_equals_a_scan_without_cues(spark, docs, data, monkeypatch):
+    got = sorted((str(r["doc_id"]), r["n_sentences"], r["sentence_ids"], r["licenses"], r["n_unmatched"]) for r in licences.scan(docs).collect())
+    monkeypatch.setattr(licences, "CUES", ("",))
+    want = []
+    for d, t, *_ in data:
+        n, ids, found, odd = licences.scan_text(t or "")
+        want.append((str(d), n, ",".join(ids), ",".join(found), odd))
+    assert [x[2:] for x in got] == [x[2:] for x in sorted(want)]

@@ -9,11 +9,13 @@ the ordered ``RULES`` whose identifiers stand there, one after another, gives a
 license and takes them.  A license sentence that no rule takes, or that is
 unknown though it speaks of a license, is reported as such.
 
-Every known sentence holds one of ``CUES``; a text without a cue is passed over
-without cutting it, which changes no result.
+Every known sentence holds one of ``CUES``; a text that holds none, its white
+space taken as single spaces, is passed over without cutting it, which changes
+no result.
 
 Defined results: null and empty texts have no sentence and no license; the same
-license found again is listed once; repeated rows are scanned alike.
+license found again is listed once; repeated rows and ids are scanned alike, and
+a null id passes through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-CUES = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "all rights reserved", "spdx", "creative commons", "cc by", "cc-by", "cc0", "cc-0", "cc 0")
+CUES = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "all rights reserved", "spdx", "creative commons", "cc by", "cc-by", "cc0", "cc-0", "cc 0", "(c)", "\u00a9")
 #: What a sentence that names a license begins with, and the term that it may define.
 _UNDER = r"(?:(?:this|the) (?:[a-z]+ ){1,3}?(?:is|are) )?(?:released|distributed|licensed|available) under "
 _TERM = r"(?: \(the [\"'\u201c\u2018]?licen[cs]e[\"'\u201d\u2019]?\))?"
@@ -51,6 +53,15 @@ SENTENCES = [
     (_UNDER + r"(?:the |a )?(?:terms of the )?cc[ -](?P<k>by(?:[ -](?:nc|sa|nd))*)(?: licen[cs]e)?(?:,? version|[ -]v)?(?:[ -]?(?P<v>[0-9][0-9.]*))?(?: international| unported)?(?: licen[cs]e)?" + _TERM, "cc-name"),
     (_UNDER + r"(?:the |a )?(?:terms of the )?cc[ -]?0(?: licen[cs]e)?(?:,? version|[ -]v)?(?:[ -]?(?P<v>[0-9][0-9.]*))?(?: universal)?(?: licen[cs]e)?" + _TERM, "cc0-name"),
     (_UNDER + r"(?:the )?(?:terms of the )?mozilla public licen[cs]e(?:,? version| v)?(?: (?P<v>[0-9.]+))?" + _TERM, "mpl-name"),
+    (r"this source code form is subject to the terms of the mozilla public licen[cs]e, v\. (?P<v>[0-9.]+)", "mpl-form"),
+    (r"if a copy of the mpl was not distributed with this file, you can obtain one at.*", "mpl-place"),
+    (r"this is free and unencumbered software released into the public domain", "unlicense"),
+    (r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted.*", "isc-grant"),
+    (r"this software is provided ['\"\u2018]as-is['\"\u2019],? without any express or implied warranty.*", "zlib-warranty"),
+    (r"permission is granted to anyone to use this software for any purpose, including commercial applications.*", "zlib-grant"),
+    (_UNDER + r"the boost software licen[cs]e(?:,? version| v)?(?: (?P<v>[0-9.]+))?" + _TERM, "boost-name"),
+    (_UNDER + r"(?:the )?(?:terms of the )?eclipse public licen[cs]e(?:,? version| v| -)?(?: v)?(?: ?(?P<v>[0-9.]+))?" + _TERM, "epl-name"),
+    (_UNDER + r"(?:the )?(?:terms of the )?isc licen[cs]e" + _TERM, "isc-name"),
     (r"(?:this (?:work|text|file|software) is |released into )(?:in )?the public domain", "public-domain"),
     (r"all rights reserved", "all-rights"),
     (r"(?:copyright|\(c\)|©).*", "copyright"),
@@ -62,6 +73,8 @@ RULES = [
     (("apache-name", "apache-comply", "licence-place"), "Apache"),
     (("gpl-grant", "gpl-warranty"), "GPL"),
     (("bsd-grant", "bsd-source", "bsd-binary"), "BSD"),
+    (("mpl-form", "mpl-place"), "MPL"),
+    (("zlib-warranty", "zlib-grant"), "Zlib"),
     (("spdx",), "SPDX"),
     (("mit-name",), "MIT"),
     (("mit-grant",), "MIT"),
@@ -73,17 +86,25 @@ RULES = [
     (("cc-name",), "CC"),
     (("cc0-name",), "CC0"),
     (("mpl-name",), "MPL"),
+    (("mpl-form",), "MPL"),
+    (("unlicense",), "Unlicense"),
+    (("isc-grant",), "ISC"),
+    (("isc-name",), "ISC"),
+    (("zlib-grant",), "Zlib"),
+    (("boost-name",), "Boost"),
+    (("epl-name",), "EPL"),
     (("public-domain",), "public-domain"),
     (("copyright", "all-rights"), "all-rights-reserved"),
     (("all-rights",), "all-rights-reserved"),
 ]
-_CUT = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
-#: Ends of a sentence in a line: its mark, or the semicolon behind a defined term.
-_STOP = re.compile(r"(?<=[.!?])\s+|(?<=\);)\s+")
+_CUT = re.compile(r"(?<=[.!?])(?<! v\.)\s+|[\r\n]+")
+#: Ends of a sentence in a line: its mark (but for that of "v. 2.0"), or the semicolon behind a defined term.
+_STOP = re.compile(r"(?<=[.!?])(?<! v\.)\s+|(?<=\);)\s+")
 #: What a known sentence begins with.
-_OPENS = re.compile(r"spdx|permission|the\b|this\b|you\b|unless|redistribution|released|distributed|licensed|available|all rights|copyright|\(c\)|©")
+_OPENS = re.compile(r"spdx|if a copy|permission|the\b|this\b|you\b|unless|redistribution|released|distributed|licensed|available|all rights|copyright|\(c\)|©")
 #: The longest wrapped sentence that is tried at each of its line ends; longer ones are tried whole.
 _LONG = 1000
+_SPACES = re.compile(r"\s+")
 _KNOWN = [(re.compile(p), name) for p, name in SENTENCES]
 
 
@@ -144,7 +165,7 @@ def join_wrapped(parts: list[tuple[str, bool]]) -> list[tuple[str, tuple[str, st
 
 def scan_text(text: str) -> tuple[int, list[str], list[str], int]:
     """Sentences, identifiers of the known ones, licenses in order, and license sentences that no rule takes."""
-    low = text.lower()
+    low = _SPACES.sub(" ", text.lower())
     if not any(cue in low for cue in CUES):
         return sum(1 for s in _CUT.split(text) if normalise(s)), [], [], 0
     sentences = join_wrapped(pieces(text))
