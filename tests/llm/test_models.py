@@ -247,3 +247,32 @@ def test_first_ids_are_those_of_the_whole_sort(spark):
     assert toxicity.first_ids(ids, 5000, 200).collect() == whole
     assert toxicity.first_ids(ids, 5000, 9000).count() == 5000
     assert toxicity.first_ids(ids.limit(0), 0, 10).count() == 0
+
+
+def test_each_training_token_counts_once_and_partitions_do_not_matter(spark, docs, data):
+    marked = docs.select("doc_id", "text", (common.remainder(F.col("doc_id"), 7) == 2).alias("held_out"))
+    lexicon = hmm.Lexicon(spark, marked.where("NOT held_out"))
+    table = hmm.sequences(marked, lexicon)
+    _, counts = hmm.train(table, lexicon)
+    tokens = sum(len(WORD.findall(r[1] or "")) + 1 for r in data if remainder(r[0], 7) != 2)
+    k = hmm.STATES
+    assert lexicon.tokens == tokens and abs(counts[k + k * k :].sum() - tokens) < 1e-3 * tokens / 100
+    two, nine = (sorted((str(r["doc_id"]), r["score"]) for r in hmm.score_documents(spark, docs.repartition(n)).collect()) for n in (2, 9))
+    assert [d for d, _ in two] == [d for d, _ in nine] and max(abs(a - b) for (_, a), (_, b) in zip(two, nine, strict=True)) < 1e-2
+
+
+def test_copies_of_an_id_do_not_fill_the_samples(spark, docs, labels):
+    copies = spark.range(2000).selectExpr("1L AS doc_id", "concat('copy ', id) AS text", "'xx' AS lang", "'s' AS source", "0L AS n_chars")
+    more = docs.unionByName(copies)
+    model = toxicity.fit(spark, more, labels.unionByName(spark.createDataFrame([(1, 1, 1)], "doc_id bigint, quality int, toxic int")), n_positive=40, n_unlabelled=60)
+    assert model.weights is not None
+    ids = toxicity.first_ids(more.where("doc_id IS NOT NULL").select("doc_id"), 300, 60)
+    assert ids.count() == ids.distinct().count() == 60
+    assert languageid.fit(spark, more).languages == ["xx", "yy", "zz"]
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(1000 * k + i, " ".join(chr(0x4E00 + 50 * k + (i * j) % 40) * 2 for j in range(30)), f"l{k}") for k in range(30) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in languageid.identify(spark, df).collect()}
+    assert len(languageid.fit(spark, df).languages) == 30 and sum(got[d] == lang for d, _, lang in rows) > 0.9 * len(rows)

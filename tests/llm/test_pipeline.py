@@ -1,13 +1,19 @@
-"""The pipeline stage by stage against what each stage's own operator says, and its query."""
+"""The pipeline stage by stage and as a whole: dedup and packing by brute force, the classifiers by columns and order."""
 
 import hashlib
 import re
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from vetframe.llm import queries, simhash
+from vetframe.llm import queries
+
+from .test_nearcopies import slow_keep
+from .test_tokens import LIBRARY
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,9 +50,28 @@ def test_exact_stage_by_brute_force(stages):
     assert {r["doc_id"] for r in after} == {k[1] for k in best.values()} and len(after) == len(best)
 
 
-def test_near_stage_keeps_one_of_each(spark, stages):
-    classes = simhash.near_duplicates(spark, stages["exact_dedup"]).collect()
-    assert {r["doc_id"] for r in stages["near_dedup"].collect()} == {r["component_id"] for r in classes}
+def test_near_stage_keeps_one_of_each(stages):
+    """Five-word shingle sets of all pairs, similarity of 0.8 or more."""
+    before = [(r["doc_id"], r["text"]) for r in stages["exact_dedup"].collect()]
+    assert sorted((r["doc_id"], r["text"]) for r in stages["near_dedup"].collect()) == slow_keep(before)
+
+
+def test_run_packs_what_the_stages_keep(spark, stages):
+    """The whole pipeline against the library's ids of the documents that are left, cut and placed."""
+    got = corpus_pipeline.run(spark, SF).collect()
+    want = Counter()
+    for r in stages["near_dedup"].collect():
+        ids = [*LIBRARY.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for start in range(0, len(ids), 1024):
+            part = np.array(ids[start : start + 1024], "<u4")
+            want[r["doc_id"], start, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for rows in places.values():
+        rows.sort()
+        assert rows[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:], strict=False)) and sum(rows[-1]) <= 1024
 
 
 def test_packing_holds_what_stays(stages):
