@@ -240,3 +240,14 @@ def test_repeated_ids_with_other_texts_stay(spark):
     rows = [(1, "alpha beta gamma delta epsilon"), (2, "alpha beta gamma delta epsilon"), (2, "something else that is quite another text")]
     got = simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(map(tuple, got)) == sorted([rows[0], rows[2]])
+
+
+def test_thinned_edges(spark):
+    """Many links a node become about one, also at a node that is crowded; the components stay."""
+    pairs = [(x, y) for y in range(5000, 5020) for x in range(0, 9000, 3) if x != y]
+    edges = spark.createDataFrame([*pairs, *pairs[:50], (20_001, 20_000), (7, 7)], "a bigint, b bigint")
+    nodes = {n for pair in pairs for n in pair}
+    stars = components.thinned(edges)
+    assert stars.count() < 2 * len(nodes) and stars.where("a >= b").count() == 0
+    assert dict(components.components(spark, edges).collect()) == {**dict.fromkeys(nodes, 0), 20_000: 20_000, 20_001: 20_000}
+    assert components.components(spark, edges.limit(0)).count() == 0
