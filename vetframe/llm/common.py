@@ -56,6 +56,19 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a session that names no size has for Arrow batches, and the size it gets here.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most from here on, unless the session names another size than Spark's 64 MB.
+
+    Each task holds a batch on both sides of its pipe, and long texts fill any size.
+    """
+    if spark.conf.get(BATCH_KEY, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def remember(path: str) -> None:
     """Have ``path`` removed in the end."""
     if not _written:

@@ -120,6 +120,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int) ->
 
 def pack(spark: SparkSession, docs: DataFrame, vocabulary_path: str, capacity: int = 1024, end_id: int = 0, per_bucket: int = 1_000) -> DataFrame:
     """Pieces of all documents with their sequence_id and offset."""
+    common.bound_batches(spark)
     cut = common.materialise(spark, pieces(docs, vocabulary_path, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     entries = np.array(sorted(shortest_pack_first(counts, capacity)), np.int64).reshape(-1, 5)

@@ -160,6 +160,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, n_positive: int
     n_known, n_toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
     if not n_toxic:
         return Model(np.zeros(0, np.int64), None)
+    common.bound_batches(spark)
     prior = min(max(n_toxic / n_known, 1e-4), 0.5)
     usable = docs.where(training_row(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id")
     confirmed = first_ids(known.where("toxic > 0"), n_toxic, n_positive)  # bounded, so the joins may broadcast it
