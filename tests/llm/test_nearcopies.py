@@ -3,8 +3,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
-from vetframe.llm import nearcopies
+from vetframe.llm import common, nearcopies
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -77,3 +81,79 @@ def test_sets_of_many_classes_and_parts(spark, monkeypatch):
 
 def test_columns_that_clash(clashing):
     assert nearcopies.keep_one(clashing.sparkSession, clashing).columns == clashing.columns
+
+
+def slow_labels(n, links):
+    label = list(range(n))
+    for i, j in links:
+        label = [label[i] if k == label[j] else k for k in label]
+    return [label.index(k) for k in label]
+
+
+def test_words_of_the_fingerprint_are_majorities():
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 63, n, dtype=np.uint64)) for i, n in enumerate((1, 2, 5, 300, 700))]
+    got = nearcopies.fingerprint_words(np.concatenate(sets), np.array([len(x) for x in sets]), 3, 5)
+
+    def mixed(h, word):
+        x = (int(h) + (word + 1) * common.MULTIPLIER) % 2**64
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * m % 2**64
+        return x ^ x >> 33
+
+    for i, s in enumerate(sets):
+        for word in (3, 4):
+            x = [mixed(h, word) for h in s]
+            assert int(got[i, word - 3]) == sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in x) > len(x))
+
+
+@pytest.mark.parametrize("crowd, many", [(1 << 17, 1 << 20), (60, 1 << 20), (1 << 17, 30), (60, 30)])
+def test_candidates_are_the_rows_that_meet_at_anchors(spark, monkeypatch, crowd, many):
+    """The near-copy stage's candidates against all pairs of SimHash fingerprints; in parts, and by pivots."""
+    monkeypatch.setattr(nearcopies, "CROWD", crowd)
+    monkeypatch.setattr(nearcopies, "MANY", many)
+    monkeypatch.setattr(nearcopies, "SHARE", 1)
+    monkeypatch.setattr(nearcopies, "CHUNK", 20)
+    rnd, texts = random.Random(5), ["", "a b c d e f g h", "a b c d e f g h i", "one two"]
+    for _ in range(25):
+        base = " ".join(f"w{rnd.randrange(4000)}" for _ in range(rnd.randint(12, 150)))
+        texts += [family(rnd, base, round(len(base.split()) * share)) for share in (0, 0.02, 0.05, 0.1, 0.2)]
+    texts += [texts[9]] * 90 + [family(rnd, texts[9], 1) for _ in range(30)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+    links = [tuple(r) for r in nearcopies.ties(nodes, 5).collect()]
+
+    sets = nearcopies.distinct_hashes(*nearcopies.shingle_hashes(pa.array(texts), common.SpanHasher(), 5))
+    size, (free, usual, few) = np.array([len(x) for x in sets]), nearcopies.plan(len(texts))
+    width = 15 + free
+    per = 64 // width
+    words = nearcopies.fingerprint_words(np.concatenate(sets), size, 0, 3 + -(-few // per))
+    near = np.bitwise_count(words[:, None, :3] ^ words[None, :, :3]).sum(2) <= nearcopies.APART
+    met = np.zeros(near.shape, bool)
+    for block in range(few):
+        x = (words[:, 3 + block // per] >> np.uint64(block % per * width)) & np.uint64((1 << width) - 1)
+        apart = x[:, None] ^ x[None, :]
+        mine = (size <= 5) | (block < usual)
+        met |= (apart >> np.uint64(15) == 0) & (np.bitwise_count(apart) <= 1) & mine[:, None] & mine
+    least, reached = (slow_labels(len(texts), x) for x in (np.argwhere(met & near).tolist(), links))
+    assert all(near[a, b] or least[a] == least[b] for a, b in links)
+    # a task may also link rows that are two bits apart: replicas at one anchor are compared with homes only
+    assert len(set(least)) > 30 and all(reached[i] == reached[least[i]] for i in range(len(texts)))
+
+
+def test_enough_blocks_for_sets_of_any_size():
+    """The chance to miss, from the exact chance that a bit differs, for sets of up to 40 shingles at 0.8 and more."""
+    from math import comb
+
+    def differ(c, a, b):
+        one = lambda s, own, n: sum(comb(own, i) for i in range(own + 1) if 2 * (s + i) > n) / 2**own
+        both = [(comb(c, s) / 2**c, one(s, a - c, a), one(s, b - c, b)) for s in range(c + 1)]
+        return sum(p * (x * (1 - y) + y * (1 - x)) for p, x, y in both)
+
+    for rows in (100, 200_000, 10**7):
+        free, usual, few = nearcopies.plan(rows)
+        for union in range(2, 41):
+            for common_ in range(-(-8 * union // 10), union):
+                for a in range(common_, (union + common_) // 2 + 1):
+                    b = union + common_ - a
+                    p = differ(common_, a, b)
+                    met = (1 - p) ** free * ((1 - p) ** 15 + 15 * p * (1 - p) ** 14)
+                    assert (1 - met) ** (few if b <= nearcopies.FEW else usual) <= 5e-6

@@ -1,13 +1,17 @@
 """Near copies by shingle similarity: what ``simhash.keep_one`` does where a similarity is asked for.
 
-Anchors that cover fingerprints so far apart (a similarity of 0.8 means about ten
-of 64 bits) would replicate each of them hundreds of times, so MinHash finds what
-may be alike: ``BANDS`` bands of ``ROWS`` minima each.  A pair of similarity s
-shares no band with probability (1 - s^6)^40, 5 in a million at 0.8 and less
-above.  Each row of a band is tied to the smallest of it, first among the rows
-of a chunk and then among all, so no list of pairs arises and a common band
-arrives as a few rows.  Among the rows that such ties connect, a block, the
-similarity of whole shingle sets decides, and nothing else.
+Candidates come from SimHash and covering-code anchors, as in ``simhash``, but over
+a longer fingerprint, for at a similarity of 0.8 some 15 % of all bits differ.  It
+is cut into blocks of ``CODED`` bits, the words of the Hamming code, and a
+few free bits.  Rows that agree in the free bits of a block share a cell, and one
+task has them all: there each is at home at its nearest code word and replicated to
+those at distance two, so homes and replicas at an anchor hold every pair that
+differs in one bit of the block at most.  ``plan`` has so many blocks that a pair
+at 0.8 meets in none with a probability of 5 in a million at most, and less above.
+Homes and replicas that meet are compared in ``PRINT`` further words of the
+fingerprint, of which ``APART`` bits may differ; what that links in a cell becomes a
+forest, so no list of pairs arises.  Among the rows that such ties connect, a block,
+the similarity of whole shingle sets decides, and nothing else.
 
 Pivots are compared with all rows of their block.  Rows stay open until they have
 been a pivot, or are in the largest class of their block: two rows that are both
@@ -25,6 +29,7 @@ smallest id stays, null last.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +40,27 @@ from pyspark.sql import types as T
 
 from . import bloom, common
 from .components import components
-
-BANDS, ROWS = 40, 6
+from .simhash import CODED, hamming_code, majority, popcount
+
+#: A pair at a similarity of 0.8 is missed with this probability at most.
+MISS = 5e-6
+#: The largest chance that a bit of two fingerprints differs at 0.8: of all sets, and of sets of ``FEW`` shingles or less.
+DIFFER, DIFFER_FEW, FEW = 0.162, 0.1875, 5
+#: Words of the fingerprint that are compared at an anchor, and bits in them that may differ (the rest of ``MISS``).
+PRINT, APART = 3, 62
+#: A row in a cell: id, compared words and word of the code.
+ROW = np.dtype([("node", "<i8"), ("print", "<u8", PRINT), ("code", "<u2")])
+#: Rows whose blocks leave a task at once, those of a usual cell, and those from which a cell is dealt into parts.
+CHUNK, CELL, CROWD = 8192, 1 << 15, 1 << 17
+#: Pairs that are compared at once, and at one anchor before pivots stand for them.
+PAIRS, MANY = 1 << 18, 1 << 20
+#: One row in so many tells which cells are crowded.
+SHARE = 64
 #: Pivots of one set of rows in the first round, and in one task.
 PIVOTS = 16
 #: Bytes of the shingle sets of a block that a task holds.
 HELD = 8_000_000
-#: Shingles whose minima are taken at once, few enough to stay in a cache.
+#: Shingles whose bits are counted at once, few enough to stay in a cache.
 STEP = 60_000
 
 
@@ -66,75 +85,212 @@ def shingle_hashes(text: pa.Array, hasher: common.SpanHasher, shingle: int) -> t
     return out ^ (out >> np.uint64(32)), counts
 
 
-def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A key for each text (row) and band (column)."""
-    seeds = np.random.default_rng(5).integers(0, 1 << 32, (BANDS * ROWS, 2), np.uint32)
-    seeds[:, 1] |= 1
-    low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def plan(rows: int) -> tuple[int, int, int]:
+    """Free bits of a block, so that ``rows`` make cells of about ``CELL``, and the number of blocks: of all texts, and of those of ``FEW`` shingles."""
+    free = max(2, (rows // CELL).bit_length())
+    met = ((1 - p) ** free * ((1 - p) ** CODED + CODED * p * (1 - p) ** (CODED - 1)) for p in (DIFFER, DIFFER_FEW))
+    usual, few = (math.ceil(math.log(MISS) / math.log1p(-m)) for m in met)
+    return free, usual, few
+
+
+def fingerprint_words(hashes: np.ndarray, counts: np.ndarray, first: int, to: int) -> np.ndarray:
+    """Words ``first`` to ``to`` of the SimHash fingerprint of each text (row)."""
+    out = np.empty((len(counts), to - first), np.uint64)
     ends = np.cumsum(counts)
-    least = np.empty((BANDS * ROWS, len(counts)), np.uint32)
     at = 0
     while at < len(counts):
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + STEP, side="right")))
-        part, starts = low[base : ends[to - 1]], ends[at:to] - counts[at:to] - base
-        for i, (a, b) in enumerate(seeds):
-            x = part ^ a
-            x *= b
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            x ^= x >> np.uint32(13)
-            least[i, at:to] = np.minimum.reduceat(x, starts)
-        at = to
-    keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(counts), axis=1)
-    for i in range(ROWS):
-        keys = (keys ^ least[i::ROWS].astype(np.uint64)) * np.uint64(common.MULTIPLIER)
-        keys ^= keys >> np.uint64(29)
-    return keys.T
-
+        stop = max(at + 1, int(np.searchsorted(ends, base + STEP, side="right")))
+        part = hashes[base : ends[stop - 1]]
+        for word in range(first, to):
+            x = part + np.uint64((word + 1) * common.MULTIPLIER & (1 << 64) - 1)
+            for multiplier in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                x ^= x >> np.uint64(33)
+                x *= np.uint64(multiplier)
+            x ^= x >> np.uint64(33)
+            out[at:stop, word - first] = majority(x, counts[at:stop])
+        at = stop
+    return out
+
+
+def distinct_hashes(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """The distinct shingle hashes, in order, of each text."""
+    ends = np.cumsum(counts)
+    return [np.unique(hashes[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+
+
+def spread(nodes: DataFrame, shingle: int, rows: int) -> DataFrame:
+    """(cell, n, rows): the ``ROW`` of every row (node, text) in the cell of each block; of cells below zero, ties of equal rows."""
+    free, usual, few = plan(rows)
+    width = CODED + free
+    per_word = 64 // width
+    words, more = -(-usual // per_word), -(-few // per_word)
+
+    def chunk(node: np.ndarray, print_: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(node, kind="stable")
+        node, print_, size = node[order], print_[order], size[order]
+        # rows equal in the whole fingerprint are tied to the least, which alone goes on
+        least, same = np.unique(np.ascontiguousarray(print_).view(f"V{8 * print_.shape[1]}")[:, 0], return_index=True, return_inverse=True)[1:]
+        again = np.flatnonzero(least[same] != np.arange(len(node)))
+        if len(again):
+            pairs = np.stack([node[least[same]][again], node[again]])
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - (int(node[0]) & 0xFFFF)]), pa.array([0], pa.int64()), pa.array([pairs.tobytes()], pa.binary())], ["cell", "n", "rows"])
+        one = np.sort(least)
+        node, print_, size = node[one], print_[one], size[one]
+        made = np.empty(len(node), ROW)
+        made["node"], made["print"] = node, print_[:, :PRINT]
+        for block in range(few):
+            some = slice(None) if block < usual else np.flatnonzero(size <= FEW)
+            value = print_[some, PRINT + block // per_word] >> np.uint64(block % per_word * width)
+            place = (value >> np.uint64(CODED)) & np.uint64((1 << free) - 1)
+            if not len(place):
+                continue
+            mine = made[some]
+            mine["code"] = value & np.uint64((1 << CODED) - 1)
+            order = np.argsort(place, kind="stable")
+            place, raw = place[order].astype(np.int64), mine[order].tobytes()
+            cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+            held = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * ROW.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.int64(block) << 40 | place[cuts[:-1]]), pa.array(np.diff(cuts)), held], ["cell", "n", "rows"])
 
-def ties(nodes: DataFrame, shingle: int) -> DataFrame:
-    """(a, b): every row (node, text) and the smallest row of each of its bands, where they differ."""
-
-    def chunk(band: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        """Ties of a chunk to the smallest row of each band, which alone goes on with its band."""
-        order = np.lexsort((node, band))
-        band, node = band[order], node[order]
-        first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-        least = np.repeat(node[first], np.diff(np.r_[first, len(band)]))
-        tied = np.flatnonzero(least != node)
-        pairs = np.unique(np.stack([least[tied], node[tied]]), axis=1)
-        key = np.concatenate([band[first], pairs[1]])
-        other = np.concatenate([np.zeros(len(first), np.int64), pairs[0]])
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([node[first], pairs[1]])), pa.array(other, mask=np.arange(len(key)) < len(first))], ["key", "node", "other"])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.SpanHasher()
+        kept: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for part in common.slices(batch, limit=1_000_000):
-                found = band_keys(*shingle_hashes(part.column(1), hasher, shingle))
-                yield chunk(found.reshape(-1).view(np.int64), np.repeat(part.column(0).to_numpy(), BANDS))
+                for at in range(0, part.num_rows, CHUNK):
+                    some = part.slice(at, CHUNK)
+                    sets = distinct_hashes(*shingle_hashes(some.column(1), hasher, shingle))
+                    size = np.array([len(x) for x in sets])
+                    print_ = np.zeros((len(sets), PRINT + more), np.uint64)
+                    print_[:, : PRINT + words] = fingerprint_words(np.concatenate(sets), size, 0, PRINT + words)
+                    small = np.flatnonzero(size <= FEW)
+                    if len(small) and more > words:
+                        print_[small, PRINT + words :] = fingerprint_words(np.concatenate([sets[i] for i in small]), size[small], PRINT + words, PRINT + more)
+                    if kept and sum(len(k[0]) for k in kept) + len(size) > CHUNK:
+                        yield from chunk(*map(np.concatenate, zip(*kept, strict=True)))
+                        kept = []
+                    kept.append((some.column(0).to_numpy(), print_, size))
+        if kept:
+            yield from chunk(*map(np.concatenate, zip(*kept, strict=True)))
+
+    return nodes.mapInArrow(run, "cell long, n long, rows binary")
+
+
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of 0 to ``n`` that links (a, b) connect each with."""
+    label = np.arange(n)
+    while True:
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def crowd_classes(print_: np.ndarray) -> np.ndarray:
+    """A class for each row of an anchor: two are in one if a chain of rows within ``APART`` leads from one to the other."""
+    label, pivoted, at = np.arange(len(print_)), np.zeros(len(print_), bool), 0
+    while True:
+        near = popcount(print_ ^ print_[at]).sum(1) <= APART
+        label[np.isin(label, np.unique(label[near]))] = label[near].min()
+        pivoted[at] = True
+        left = np.flatnonzero(~pivoted & (label != np.bincount(label).argmax()))
+        if not len(left):
+            return label
+        at = left[0]
+
+
+def cell_ties(rows: np.ndarray, nearest: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): a forest of what homes and replicas at the anchors of a cell link."""
+    rows = rows[np.argsort(rows["node"], kind="stable")]
+    code, print_ = rows["code"].astype(np.int64), [np.ascontiguousarray(rows["print"][:, i]) for i in range(PRINT)]
+    far = second[code]
+    away = np.flatnonzero(far[:, 0] >= 0)
+    row = np.concatenate([np.arange(len(rows)), np.repeat(away, far.shape[1])]).astype(np.int32)
+    key = np.concatenate([nearest[code] * 2, far[away].ravel() * 2 + 1]).astype(np.uint16)  # homes first at every anchor
+    some = np.concatenate([np.ones(len(rows), bool), far[away].ravel() >= 0])
+    row, key = row[some], key[some]
+    order = np.argsort(key, kind="stable")
+    row, key = row[order], key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] >> 1 != key[:-1] >> 1])
+    end = np.r_[first[1:], len(key)]
+    homes = np.add.reduceat((key & 1 == 0).astype(np.int64), first)
+    a, b = [], []
+    crowded = homes * (end - first) > MANY
+    for s, e in zip(first[crowded].tolist(), end[crowded].tolist(), strict=True):
+        mine = row[s:e]
+        label = crowd_classes(rows["print"][mine])
+        a.append(mine[label])
+        b.append(mine)
+    usual = np.flatnonzero(~crowded & (homes > 0) & (end - first > 1))
+    left = common.concat_ranges(first[usual], homes[usual])
+    reach = np.repeat(end[usual], homes[usual]) - left - 1  # each home with all that come after it at its anchor
+    sums = np.cumsum(reach)
+    at = 0
+    while at < len(left):
+        base = sums[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sums, base + PAIRS, side="right")))
+        x = np.repeat(row[left[at:to]], reach[at:to])
+        y = row[common.concat_ranges(left[at:to] + 1, reach[at:to])]
+        apart = np.zeros(len(x), np.uint16)
+        for p in print_:
+            apart += popcount(p[x] ^ p[y])
+            near = np.flatnonzero(apart <= APART)
+            x, y, apart = x[near], y[near], apart[near]
+        a.append(x)
+        b.append(y)
+        at = to
+    none = np.zeros(0, np.int32)
+    label = connected(len(rows), np.concatenate([none, *a]), np.concatenate([none, *b]))
+    tied = np.flatnonzero(label != np.arange(len(rows)))
+    return rows["node"][label[tied]], rows["node"][tied]
+
+
+def ties(nodes: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): links that connect the rows (node, text) whose fingerprints meet at an anchor and are near there.
+
+    A crowded cell is dealt into parts, and each pair of parts is a cell of its own,
+    so none is beyond some bound and no pair is lost.  Which are crowded is told by one
+    row in ``SHARE``: results don't depend on it.
+    """
+    rows = nodes.count()
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, least = None, None
+        nearest, second = hamming_code()
+        at: tuple | None = None
+        held: list[bytes] = []
+
+        def told() -> pa.RecordBatch:
+            raw = b"".join(held)
+            if at is None or at[0] < 0:
+                a, b = np.concatenate([np.zeros((2, 0), np.int64), *(np.frombuffer(x, np.int64).reshape(2, -1) for x in held)], axis=1)
+            else:
+                a, b = cell_ties(np.frombuffer(raw, ROW), nearest, second)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            key, node = (batch.column(i).to_numpy()[~known] for i in range(2))
-            a, b = batch.column(2).drop_null().to_numpy(), batch.column(1).to_numpy()[known]
-            if len(key):
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                smallest = node[first]
-                if key[0] == band:
-                    smallest[0] = least
-                every = np.repeat(smallest, np.diff(np.r_[first, len(key)]))
-                band, least = key[-1], smallest[-1]
-                a, b = np.concatenate([a, every[every != node]]), np.concatenate([b, node[every != node]])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    spread = nodes.mapInArrow(keys, "key long, node long, other long")
-    return spread.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(tie, "a long, b long")
+            for *key, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if at != tuple(key):
+                    yield told()
+                    at, held = tuple(key), []
+                held.append(raw)
+        yield told()
+
+    dealt = spread(nodes, shingle, rows).withColumn("pair", F.lit(0))
+    if rows > CROWD:
+        few = spread(nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SHARE)) == 0), shingle, rows)
+        sizes = few.where("cell >= 0").groupBy("cell").agg((F.sum("n") * SHARE).alias("size")).where(F.col("size") > CROWD)
+        sizes = common.materialise(nodes.sparkSession, sizes.select("cell", F.ceil(F.col("size") / CROWD).cast("int").alias("parts")), "crowded-cells")
+        if sizes.limit(1).count():
+            parts = F.coalesce("parts", F.lit(1))
+            dealt = dealt.join(F.broadcast(sizes), "cell", "left").withColumn("part", F.pmod(F.xxhash64("rows"), parts).cast("int"))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+            dealt = dealt.withColumn("pair", F.least("part", "other") * parts + F.greatest("part", "other"))
+    dealt = dealt.select("cell", "pair", "rows").repartition(F.col("cell"), F.col("pair")).sortWithinPartitions("cell", "pair")
+    return dealt.mapInArrow(tie, "a long, b long")
 
 
 def shingle_sets(tied: DataFrame, shingle: int) -> DataFrame:
@@ -144,9 +300,7 @@ def shingle_sets(tied: DataFrame, shingle: int) -> DataFrame:
         hasher = common.SpanHasher()
         for batch in batches:
             for part in common.slices(batch, limit=1_000_000):
-                hashes, counts = shingle_hashes(part.column(3), hasher, shingle)
-                ends = np.cumsum(counts)
-                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+                sets = [x.tobytes() for x in distinct_hashes(*shingle_hashes(part.column(3), hasher, shingle))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], ["node", "label", "doc_id", "grams"])
 
     schema = T.StructType([*tied.select("node", "label", "doc_id").schema.fields, T.StructField("grams", T.BinaryType())])
