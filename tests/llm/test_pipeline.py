@@ -81,3 +81,56 @@ def test_packing_holds_what_stays(stages):
 
 def test_registered():
     assert {*queries.QUERIES, "pipeline"} <= set(__spark_entry__.queries()) and [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+class Taken:
+    """Stands for a DataFrame and gives the function that would run on its batches."""
+
+    def __init__(self, schema):
+        self.schema, self.columns = schema, schema.names
+
+    def select(self, *names):
+        return Taken(type(self.schema)([self.schema[n] for n in names]))
+
+    def withColumn(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_steps_take_little_memory():
+    """Peak of what a worker of each stage holds over a batch of 4 MB: its arrays are those of a small step."""
+    import random
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from vetframe.llm import nearcopies, packing, toxicity
+
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rnd.choices(words, k=300)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], ["doc_id", "text"])
+    assert 3_500_000 < batch.nbytes < 5_000_000
+    docs = Taken(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
+    model = toxicity.Model(np.arange(256) * 1000, np.zeros((3, 257), np.float32))
+    for run in (toxicity.score(docs, model), packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 0), nearcopies.spread(docs, 5, 100_000)):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and peak < 48_000_000
+
+
+def test_small_tables_need_no_python_worker(spark, monkeypatch):
+    from vetframe.llm import common, components
+
+    monkeypatch.setattr(common, "crowd", lambda rows: 3)
+    monkeypatch.setattr(spark.sparkContext.__class__, "parallelize", None)
+    rows = spark.range(40).selectExpr("IF(id < 10, NULL, id div 8) AS a", "id AS b")
+    assert sorted(r["a"] or 0 for r in common.crowded_keys(rows, "a").collect()) == [0, 1, 2, 3, 4] and common.crowded_keys(rows, "b") is None
+    edges = spark.range(1, 40).selectExpr("id div 8 AS a", "40 + id % 4 AS b")
+    assert {r["label"] for r in components.components(spark, edges).collect()} == {0}

@@ -157,7 +157,7 @@ def spread(nodes: DataFrame, shingle: int, rows: int) -> DataFrame:
         hasher = common.SpanHasher()
         kept: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for part in common.slices(batch, limit=1_000_000):
+            for part in common.slices(batch, limit=common.STEP_BYTES):
                 for at in range(0, part.num_rows, CHUNK):
                     some = part.slice(at, CHUNK)
                     sets = distinct_hashes(*shingle_hashes(some.column(1), hasher, shingle))
@@ -299,7 +299,7 @@ def shingle_sets(tied: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.SpanHasher()
         for batch in batches:
-            for part in common.slices(batch, limit=1_000_000):
+            for part in common.slices(batch, limit=common.STEP_BYTES):
                 sets = [x.tobytes() for x in distinct_hashes(*shingle_hashes(part.column(3), hasher, shingle))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.binary())], ["node", "label", "doc_id", "grams"])
 

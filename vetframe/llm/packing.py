@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.Encoder(v)
         for batch in batches:
-            for part in common.slices(batch, limit=bpe.STEP):
+            for part in common.slices(batch, limit=common.STEP_BYTES):
                 ids, at = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 # room for the end id of every document
                 ids = np.insert(ids, at[1:], end_id).astype("<u4")

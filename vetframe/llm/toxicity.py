@@ -87,7 +87,7 @@ def _sample_counts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            for part in common.slices(batch, limit=2_000_000):
+            for part in common.slices(batch, limit=common.STEP_BYTES):
                 doc, bucket = features(part.column(0))
                 once = np.unique(doc * BUCKETS + bucket) % BUCKETS
                 found, n = np.unique(once, return_counts=True)
@@ -185,7 +185,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, n_positive: int
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, column_of = Features(), _columns(chosen)
         for batch in batches:
-            for part in common.slices(batch, limit=2_000_000):
+            for part in common.slices(batch, limit=common.STEP_BYTES):
                 packed = np.packbits(_presence(chosen, part.column(0), features, column_of).astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in packed], pa.binary()), part.column(1)], ["bits", "kind"])
 
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, column_of = Features(), _columns(model.chosen)
         for batch in batches:
-            for part in common.slices(batch, place, 2_000_000):
+            for part in common.slices(batch, place, common.STEP_BYTES):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(part.column(place), features, column_of))], [*part.schema.names, "score"])
 
     return docs.mapInArrow(run, schema)
