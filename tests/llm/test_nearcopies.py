@@ -106,8 +106,8 @@ def test_words_of_the_fingerprint_are_majorities():
             assert int(got[i, word - 3]) == sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in x) > len(x))
 
 
-@pytest.mark.parametrize("crowd, many", [(1 << 17, 1 << 20), (60, 1 << 20), (1 << 17, 30), (60, 30)])
-def test_candidates_are_the_rows_that_meet_at_anchors(spark, monkeypatch, crowd, many):
+@pytest.mark.parametrize("crowd, many, compared", [(1 << 17, 1 << 20, 3), (60, 1 << 20, 12), (1 << 17, 30, 12), (60, 30, 3)])
+def test_candidates_are_the_rows_that_meet_at_anchors(spark, monkeypatch, crowd, many, compared):
     """The near-copy stage's candidates against all pairs of SimHash fingerprints; in parts, and by pivots."""
     monkeypatch.setattr(nearcopies, "CROWD", crowd)
     monkeypatch.setattr(nearcopies, "MANY", many)
@@ -119,21 +119,22 @@ def test_candidates_are_the_rows_that_meet_at_anchors(spark, monkeypatch, crowd,
         texts += [family(rnd, base, round(len(base.split()) * share)) for share in (0, 0.02, 0.05, 0.1, 0.2)]
     texts += [texts[9]] * 90 + [family(rnd, texts[9], 1) for _ in range(30)]
     nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
-    links = [tuple(r) for r in nearcopies.ties(nodes, 5).collect()]
+    links = [tuple(r) for r in nearcopies.ties(nodes, 5, len(texts), compared).collect()]
 
     sets = nearcopies.distinct_hashes(*nearcopies.shingle_hashes(pa.array(texts), common.SpanHasher(), 5))
     size, (free, usual, few) = np.array([len(x) for x in sets]), nearcopies.plan(len(texts))
     width = 15 + free
     per = 64 // width
-    words = nearcopies.fingerprint_words(np.concatenate(sets), size, 0, 3 + -(-few // per))
-    near = np.bitwise_count(words[:, None, :3] ^ words[None, :, :3]).sum(2) <= nearcopies.APART
-    met = np.zeros(near.shape, bool)
+    words = nearcopies.fingerprint_words(np.concatenate(sets), size, 0, nearcopies.BLOCKS + -(-few // per))
+    differ = np.bitwise_count(words[:, None, :compared] ^ words[None, :, :compared]).sum(2)
+    usually, seldom = (nearcopies.apart(compared, p) for p in (nearcopies.DIFFER, nearcopies.DIFFER_FEW))
+    met, near = np.zeros(differ.shape, bool), differ <= np.where((size[:, None] <= 5) & (size <= 5), seldom, usually)
     for block in range(few):
-        x = (words[:, 3 + block // per] >> np.uint64(block % per * width)) & np.uint64((1 << width) - 1)
+        x = (words[:, nearcopies.BLOCKS + block // per] >> np.uint64(block % per * width)) & np.uint64((1 << width) - 1)
         apart = x[:, None] ^ x[None, :]
         mine = (size <= 5) | (block < usual)
-        met |= (apart >> np.uint64(15) == 0) & (np.bitwise_count(apart) <= 1) & mine[:, None] & mine
-    least, reached = (slow_labels(len(texts), x) for x in (np.argwhere(met & near).tolist(), links))
+        met |= (apart >> np.uint64(15) == 0) & (np.bitwise_count(apart) <= 1) & mine[:, None] & mine & (differ <= (usually if block < usual else seldom))
+    least, reached = (slow_labels(len(texts), x) for x in (np.argwhere(met).tolist(), links))
     assert all(near[a, b] or least[a] == least[b] for a, b in links)
     # a task may also link rows that are two bits apart: replicas at one anchor are compared with homes only
     assert len(set(least)) > 30 and all(reached[i] == reached[least[i]] for i in range(len(texts)))
@@ -156,4 +157,4 @@ def test_enough_blocks_for_sets_of_any_size():
                     b = union + common_ - a
                     p = differ(common_, a, b)
                     met = (1 - p) ** free * ((1 - p) ** 15 + 15 * p * (1 - p) ** 14)
-                    assert (1 - met) ** (few if b <= nearcopies.FEW else usual) <= 5e-6
+                    assert (1 - met) ** (few - usual if b <= nearcopies.FEW else usual) <= 5e-6

@@ -9,8 +9,10 @@ those at distance two, so homes and replicas at an anchor hold every pair that
 differs in one bit of the block at most.  ``plan`` has so many blocks that a pair
 at 0.8 meets in none with a probability of 5 in a million at most, and less above.
 Homes and replicas that meet are compared in ``PRINT`` further words of the
-fingerprint, of which ``APART`` bits may differ; what that links in a cell becomes a
-forest, so no list of pairs arises.  Among the rows that such ties connect, a block,
+fingerprint, of which ``apart`` bits may differ; what that links in a cell becomes a
+forest, so no list of pairs arises.  The rows so tied, a small part of all, are
+compared once more where they meet, in ``WIDE`` words, so that texts which merely
+share a passage don't hang together.  Among the rows that such ties connect, a block,
 the similarity of whole shingle sets decides, and nothing else.
 
 Pivots are compared with all rows of their block.  Rows stay open until they have
@@ -46,10 +48,10 @@ from .simhash import CODED, hamming_code, majority, popcount
 MISS = 5e-6
 #: The largest chance that a bit of two fingerprints differs at 0.8: of all sets, and of sets of ``FEW`` shingles or less.
 DIFFER, DIFFER_FEW, FEW = 0.162, 0.1875, 5
-#: Words of the fingerprint that are compared at an anchor, and bits in them that may differ (the rest of ``MISS``).
-PRINT, APART = 3, 62
-#: A row in a cell: id, compared words and word of the code.
-ROW = np.dtype([("node", "<i8"), ("print", "<u8", PRINT), ("code", "<u2")])
+#: Words of the fingerprint that are compared at an anchor, first and among tied rows, and the probability to miss a pair at 0.8 by each.
+PRINT, WIDE, MISS_PRINT = 3, 12, 1e-6
+#: The first word of the blocks.
+BLOCKS = 16
 #: Rows whose blocks leave a task at once, those of a usual cell, and those from which a cell is dealt into parts.
 CHUNK, CELL, CROWD = 8192, 1 << 15, 1 << 17
 #: Pairs that are compared at once, and at one anchor before pivots stand for them.
@@ -86,11 +88,26 @@ def shingle_hashes(text: pa.Array, hasher: common.SpanHasher, shingle: int) -> t
 
 
 def plan(rows: int) -> tuple[int, int, int]:
-    """Free bits of a block, so that ``rows`` make cells of about ``CELL``, and the number of blocks: of all texts, and of those of ``FEW`` shingles."""
+    """Free bits of a block, so that ``rows`` make cells of about ``CELL``, and the number of blocks: the first hold all texts, the rest those of ``FEW`` shingles."""
     free = max(2, (rows // CELL).bit_length())
     met = ((1 - p) ** free * ((1 - p) ** CODED + CODED * p * (1 - p) ** (CODED - 1)) for p in (DIFFER, DIFFER_FEW))
     usual, few = (math.ceil(math.log(MISS) / math.log1p(-m)) for m in met)
-    return free, usual, few
+    return free, usual, usual + few
+
+
+def row_type(words: int) -> np.dtype:
+    """A row in a cell: id, compared words and word of the code."""
+    return np.dtype([("node", "<i8"), ("print", "<u8", words), ("code", "<u2")])
+
+
+def apart(words: int, differ: float) -> int:
+    """As many bits in ``words`` words as differ at 0.8, but for a probability of ``MISS_PRINT``."""
+    bits, most, tail = 64 * words, 64 * words, 0.0
+    while True:
+        tail += math.comb(bits, most) * differ**most * (1 - differ) ** (bits - most)
+        if tail > MISS_PRINT:
+            return most
+        most -= 1
 
 
 def fingerprint_words(hashes: np.ndarray, counts: np.ndarray, first: int, to: int) -> np.ndarray:
@@ -119,12 +136,13 @@ def distinct_hashes(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
 
 
-def spread(nodes: DataFrame, shingle: int, rows: int) -> DataFrame:
-    """(cell, n, rows): the ``ROW`` of every row (node, text) in the cell of each block; of cells below zero, ties of equal rows."""
+def spread(nodes: DataFrame, shingle: int, rows: int, compared: int = PRINT) -> DataFrame:
+    """(cell, n, rows): the ``row_type`` of every row (node, text) in the cell of each block; of cells below zero, ties of equal rows."""
     free, usual, few = plan(rows)
     width = CODED + free
     per_word = 64 // width
     words, more = -(-usual // per_word), -(-few // per_word)
+    kind = row_type(compared)
 
     def chunk(node: np.ndarray, print_: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(node, kind="stable")
@@ -137,11 +155,11 @@ def spread(nodes: DataFrame, shingle: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([-1 - (int(node[0]) & 0xFFFF)]), pa.array([0], pa.int64()), pa.array([pairs.tobytes()], pa.binary())], ["cell", "n", "rows"])
         one = np.sort(least)
         node, print_, size = node[one], print_[one], size[one]
-        made = np.empty(len(node), ROW)
-        made["node"], made["print"] = node, print_[:, :PRINT]
+        made = np.empty(len(node), kind)
+        made["node"], made["print"] = node, print_[:, :compared]
         for block in range(few):
             some = slice(None) if block < usual else np.flatnonzero(size <= FEW)
-            value = print_[some, PRINT + block // per_word] >> np.uint64(block % per_word * width)
+            value = print_[some, compared + block // per_word] >> np.uint64(block % per_word * width)
             place = (value >> np.uint64(CODED)) & np.uint64((1 << free) - 1)
             if not len(place):
                 continue
@@ -150,7 +168,7 @@ def spread(nodes: DataFrame, shingle: int, rows: int) -> DataFrame:
             order = np.argsort(place, kind="stable")
             place, raw = place[order].astype(np.int64), mine[order].tobytes()
             cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
-            held = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * ROW.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+            held = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * kind.itemsize).astype(np.int32)), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([pa.array(np.int64(block) << 40 | place[cuts[:-1]]), pa.array(np.diff(cuts)), held], ["cell", "n", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +180,12 @@ def spread(nodes: DataFrame, shingle: int, rows: int) -> DataFrame:
                     some = part.slice(at, CHUNK)
                     sets = distinct_hashes(*shingle_hashes(some.column(1), hasher, shingle))
                     size = np.array([len(x) for x in sets])
-                    print_ = np.zeros((len(sets), PRINT + more), np.uint64)
-                    print_[:, : PRINT + words] = fingerprint_words(np.concatenate(sets), size, 0, PRINT + words)
+                    print_, hashes = np.zeros((len(sets), compared + more), np.uint64), np.concatenate(sets)
+                    print_[:, :compared] = fingerprint_words(hashes, size, 0, compared)
+                    print_[:, compared : compared + words] = fingerprint_words(hashes, size, BLOCKS, BLOCKS + words)
                     small = np.flatnonzero(size <= FEW)
-                    if len(small) and more > words:
-                        print_[small, PRINT + words :] = fingerprint_words(np.concatenate([sets[i] for i in small]), size[small], PRINT + words, PRINT + more)
+                    if len(small):
+                        print_[small, compared + words :] = fingerprint_words(np.concatenate([sets[i] for i in small]), size[small], BLOCKS + words, BLOCKS + more)
                     if kept and sum(len(k[0]) for k in kept) + len(size) > CHUNK:
                         yield from chunk(*map(np.concatenate, zip(*kept, strict=True)))
                         kept = []
@@ -190,11 +209,11 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def crowd_classes(print_: np.ndarray) -> np.ndarray:
-    """A class for each row of an anchor: two are in one if a chain of rows within ``APART`` leads from one to the other."""
+def crowd_classes(print_: np.ndarray, most: int) -> np.ndarray:
+    """A class for each row of an anchor: two are in one if a chain of rows within ``most`` bits leads from one to the other."""
     label, pivoted, at = np.arange(len(print_)), np.zeros(len(print_), bool), 0
     while True:
-        near = popcount(print_ ^ print_[at]).sum(1) <= APART
+        near = popcount(print_ ^ print_[at]).sum(1) <= most
         label[np.isin(label, np.unique(label[near]))] = label[near].min()
         pivoted[at] = True
         left = np.flatnonzero(~pivoted & (label != np.bincount(label).argmax()))
@@ -203,10 +222,10 @@ def crowd_classes(print_: np.ndarray) -> np.ndarray:
         at = left[0]
 
 
-def cell_ties(rows: np.ndarray, nearest: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): a forest of what homes and replicas at the anchors of a cell link."""
+def cell_ties(rows: np.ndarray, most: int, nearest: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): a forest of what homes and replicas at the anchors of a cell link within ``most`` bits."""
     rows = rows[np.argsort(rows["node"], kind="stable")]
-    code, print_ = rows["code"].astype(np.int64), [np.ascontiguousarray(rows["print"][:, i]) for i in range(PRINT)]
+    code, print_ = rows["code"].astype(np.int64), [np.ascontiguousarray(rows["print"][:, i]) for i in range(rows["print"].shape[1])]
     far = second[code]
     away = np.flatnonzero(far[:, 0] >= 0)
     row = np.concatenate([np.arange(len(rows)), np.repeat(away, far.shape[1])]).astype(np.int32)
@@ -222,7 +241,7 @@ def cell_ties(rows: np.ndarray, nearest: np.ndarray, second: np.ndarray) -> tupl
     crowded = homes * (end - first) > MANY
     for s, e in zip(first[crowded].tolist(), end[crowded].tolist(), strict=True):
         mine = row[s:e]
-        label = crowd_classes(rows["print"][mine])
+        label = crowd_classes(rows["print"][mine], most)
         a.append(mine[label])
         b.append(mine)
     usual = np.flatnonzero(~crowded & (homes > 0) & (end - first > 1))
@@ -235,11 +254,11 @@ def cell_ties(rows: np.ndarray, nearest: np.ndarray, second: np.ndarray) -> tupl
         to = max(at + 1, int(np.searchsorted(sums, base + PAIRS, side="right")))
         x = np.repeat(row[left[at:to]], reach[at:to])
         y = row[common.concat_ranges(left[at:to] + 1, reach[at:to])]
-        apart = np.zeros(len(x), np.uint16)
+        differ = np.zeros(len(x), np.uint16)
         for p in print_:
-            apart += popcount(p[x] ^ p[y])
-            near = np.flatnonzero(apart <= APART)
-            x, y, apart = x[near], y[near], apart[near]
+            differ += popcount(p[x] ^ p[y])
+            near = np.flatnonzero(differ <= most)
+            x, y, differ = x[near], y[near], differ[near]
         a.append(x)
         b.append(y)
         at = to
@@ -249,14 +268,14 @@ def cell_ties(rows: np.ndarray, nearest: np.ndarray, second: np.ndarray) -> tupl
     return rows["node"][label[tied]], rows["node"][tied]
 
 
-def ties(nodes: DataFrame, shingle: int) -> DataFrame:
-    """(a, b): links that connect the rows (node, text) whose fingerprints meet at an anchor and are near there.
+def ties(nodes: DataFrame, shingle: int, rows: int, compared: int = PRINT) -> DataFrame:
+    """(a, b): links that connect the rows (node, text), some of ``rows``, whose fingerprints meet at an anchor and are near there in the ``compared`` words.
 
     A crowded cell is dealt into parts, and each pair of parts is a cell of its own,
     so none is beyond some bound and no pair is lost.  Which are crowded is told by one
     row in ``SHARE``: results don't depend on it.
     """
-    rows = nodes.count()
+    usual, kind, most = plan(rows)[1], row_type(compared), [apart(compared, p) for p in (DIFFER, DIFFER_FEW)]
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest, second = hamming_code()
@@ -268,7 +287,7 @@ def ties(nodes: DataFrame, shingle: int) -> DataFrame:
             if at is None or at[0] < 0:
                 a, b = np.concatenate([np.zeros((2, 0), np.int64), *(np.frombuffer(x, np.int64).reshape(2, -1) for x in held)], axis=1)
             else:
-                a, b = cell_ties(np.frombuffer(raw, ROW), nearest, second)
+                a, b = cell_ties(np.frombuffer(raw, kind), most[at[0] >> 40 >= usual], nearest, second)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -279,9 +298,9 @@ def ties(nodes: DataFrame, shingle: int) -> DataFrame:
                 held.append(raw)
         yield told()
 
-    dealt = spread(nodes, shingle, rows).withColumn("pair", F.lit(0))
+    dealt = spread(nodes, shingle, rows, compared).withColumn("pair", F.lit(0))
     if rows > CROWD:
-        few = spread(nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SHARE)) == 0), shingle, rows)
+        few = spread(nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SHARE)) == 0), shingle, rows, compared)
         sizes = few.where("cell >= 0").groupBy("cell").agg((F.sum("n") * SHARE).alias("size")).where(F.col("size") > CROWD)
         sizes = common.materialise(nodes.sparkSession, sizes.select("cell", F.ceil(F.col("size") / CROWD).cast("int").alias("parts")), "crowded-cells")
         if sizes.limit(1).count():
@@ -498,9 +517,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity:
     mine = common.Renamed(docs)
     rows = mine.df.withColumn("node", F.xxhash64(mine["doc_id"], mine["text"]))
     narrow = rows.select("node", mine["doc_id"].alias("doc_id"), mine["text"].alias("text"))
-    edges = common.materialise(spark, ties(narrow.select("node", "text"), shingle), "ties")
-    labels = components(spark, edges)
-    tied = matching(narrow, labels.select("node"), "tied-cells").where("maybe").drop("maybe").join(labels, "node")
+    n = docs.count()
+    edges = common.materialise(spark, ties(narrow.select("node", "text"), shingle, n), "ties")
+    nodes = common.materialise(spark, edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    tied = matching(narrow, nodes, "tied-cells").where("maybe").drop("maybe").join(nodes, "node", "left_semi")
+    tied = common.materialise(spark, tied, "tied")
+    edges = common.materialise(spark, ties(tied.select("node", "text"), shingle, n, WIDE), "wide-ties")
+    tied = tied.join(components(spark, edges), "node")
     placed = common.materialise(spark, shingle_sets(tied, shingle), "sets")
     found = classes(spark, placed, similarity)
     members = placed.select("node", "doc_id").join(found, "node")
