@@ -1,6 +1,7 @@
 """Boundaries of every threshold, and operators against brute force."""
 
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,47 @@ def test_hamming_join_loses_no_pair(spark, seed):
         duplicates.hash_links(images, 5, bands=5)
 
 
+def test_pairs_to_compare_follow_the_hashes():
+    for n in (50_000, 500_000, 3_000_000, 30_000_000):
+        m = duplicates.band_count(n, 5, 60)
+        kept = list(combinations(bits.widths(m, 60), m - 5))
+        assert len(kept) <= 126 and sum(n / 2 / 2 ** sum(k) for k in kept) < 300  # rows to join and pairs to compare, a hash
+    assert duplicates.band_count(1_000, 5, 60) == 6
+
+
+def hashed_once(spark, how):
+    """Rows of ``how`` over images whose hashes count how often they are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def slow(h):
+        made.add(1)
+        return h
+
+    data = [("train/a", "train", "x", 7), ("train/b", "train", "y", 7), ("val/c", "val", "x", 15), ("val/d", "val", "y", 0xFFFFF << 30), ("val/e", "val", "x", 1 << 50 | 0xFFF)]
+    images = spark.createDataFrame(data, "key string, split string, source string, h bigint").withColumn("hash", F.udf(slow, "bigint")("h"))
+    rows = sorted(map(tuple, how(images).collect()))
+    assert made.value == 2 * len(data) or made.value == len(data), made.value  # once a row; a filter on the hash may repeat it
+    return rows
+
+
+def test_near_within_split_hashes_once(spark):
+    assert hashed_once(spark, duplicates.near_within_split) == [("train/a", "train"), ("train/b", "train")]
+
+
+def test_text_hashes_of_repeated_and_odd_rows(spark, tmp_path):
+    import duckdb
+
+    from vetframe import adapters, queries
+
+    odd = [(1, "One two\tthree", "a"), (1, "two four\x0bfive\r\nsix", "b"), (2, "", "a"), (3, None, "a"), (4, " \n ", "b"), (5, "Ünï  cödé x", "a"), (6, "tie two", "a"), (None, "no id", "b"), (7, "w " * 5000 + "v", "b")]
+    spark.createDataFrame(odd, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"WITH {queries.HASHES} SELECT doc_id, source, hash FROM hashes").fetchall()
+    got = [tuple(r) for r in adapters.text_hashes(spark, str(tmp_path)).select("doc_id", "source", "hash").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_bands_cover_all_bits():
     assert bits.widths(6) == [11, 11, 11, 11, 10, 10] and sum(w for _, w in bits.masks(6)) == 64
 
