@@ -146,6 +146,10 @@ def test_near_within_split_hashes_once(spark):
     assert hashed_once(spark, duplicates.near_within_split) == [("train/a", "train"), ("train/b", "train")]
 
 
+def test_across_sources_hashes_once(spark):
+    assert hashed_once(spark, duplicates.across_sources) == [("train/a", "x", True), ("train/b", "y", True), ("val/c", "x", False)]
+
+
 def test_text_hashes_of_repeated_and_odd_rows(spark, tmp_path):
     import duckdb
 
