@@ -150,6 +150,25 @@ def test_across_sources_hashes_once(spark):
     assert hashed_once(spark, duplicates.across_sources) == [("train/a", "x", True), ("train/b", "y", True), ("val/c", "x", False)]
 
 
+def test_proposal_is_written_as_it_goes(spark, monkeypatch):
+    made, rnd = spark.sparkContext.accumulator(0), random.Random(3)
+
+    def counted(size):
+        made.add(1)
+        return size
+
+    data = [(f"g{i:03}", rnd.choice((1, 1, 1, 2, 9)), sorted(rnd.sample(range(9), rnd.randint(0, 2)))) for i in range(200)]
+    grouped = spark.createDataFrame(data, "group_key string, size long, classes array<int>").withColumn("size", F.udf(counted, "bigint")("size"))
+    monkeypatch.setattr(resplit, "CHOSEN", 7, raising=False)
+    held, seen, want, target = 0, set(), {}, round(sum(g[1] for g in data) * 0.2)
+    for key, size, cls in sorted(data, key=lambda g: (-g[1], g[0])):
+        val = held + size <= target or bool(set(cls) - seen) and held + size < 1.5 * target
+        held, seen = held + size * val, seen | set(cls) if val else seen
+        want[key] = "val" if val else "train"
+    assert dict(resplit.propose(spark, grouped).collect()) == want
+    assert made.value == len(data)
+
+
 def test_text_hashes_of_repeated_and_odd_rows(spark, tmp_path):
     import duckdb
 
