@@ -150,6 +150,11 @@ def test_across_sources_hashes_once(spark):
     assert hashed_once(spark, duplicates.across_sources) == [("train/a", "x", True), ("train/b", "y", True), ("val/c", "x", False)]
 
 
+def test_components_hash_once(spark):
+    got = hashed_once(spark, lambda images: duplicates.components(spark, images))
+    assert got == [("train/a", "train/a"), ("train/b", "train/a"), ("val/c", "train/a"), ("val/d", "val/d"), ("val/e", "val/e")]
+
+
 def test_proposal_is_written_as_it_goes(spark, monkeypatch):
     made, rnd = spark.sparkContext.accumulator(0), random.Random(3)
 
