@@ -155,6 +155,10 @@ def test_components_hash_once(spark):
     assert got == [("train/a", "train/a"), ("train/b", "train/a"), ("val/c", "train/a"), ("val/d", "val/d"), ("val/e", "val/e")]
 
 
+def test_leakage_hashes_once(spark):
+    assert hashed_once(spark, duplicates.leakage) == [("val/c",)]
+
+
 def test_proposal_is_written_as_it_goes(spark, monkeypatch):
     made, rnd = spark.sparkContext.accumulator(0), random.Random(3)
 
