@@ -119,6 +119,16 @@ def test_hamming_join_loses_no_pair(spark, seed):
         duplicates.hash_links(images, 5, bands=5)
 
 
+def test_links_of_any_number_of_bands(spark):
+    rnd = random.Random(5)
+    base = [rnd.getrandbits(60) for _ in range(60)]
+    base += [rnd.choice(base) ^ sum(1 << b for b in rnd.sample(range(60), rnd.randint(0, 6))) for _ in range(120)]
+    images = spark.createDataFrame([(f"k{i:03}", h) for i, h in enumerate(base)], "key string, hash bigint")
+    want = sorted((a, b, (a ^ b).bit_count()) for a in set(base) for b in set(base) if a < b and (a ^ b).bit_count() <= 5)
+    for bands in (None, 6, 7, 8):
+        assert sorted(map(tuple, duplicates.hash_links(images, bands=bands, bits=60).collect())) == want
+
+
 def test_pairs_to_compare_follow_the_hashes():
     for n in (50_000, 500_000, 3_000_000, 30_000_000):
         m = duplicates.band_count(n, 5, 60)
